@@ -120,6 +120,18 @@ def chunks(texts: pa.Array, punct: bool = False, limit: int = 1 << 20):
         yield tokenize(part, punct, lo)
 
 
+def prefixes(t: Tokens, least: int, most: int):
+    """For each length in bytes from least to most: which tokens are longer than it, and the hashes of their beginnings."""
+    h = np.zeros(len(t.start), np.uint64)
+    length = t.end - t.start
+    powers = _pow(most)
+    for k in range(most):
+        ok = np.flatnonzero(length > k)
+        h[ok] += _T[t.buf[t.start[ok] + k]] * powers[k]
+        if k + 1 >= least:
+            yield (longer := np.flatnonzero(length > k + 1)), mix(h[longer] + np.uint64(977 * (k + 1)))
+
+
 def word_hash(words: list[str]) -> np.ndarray:
     """The hashes that ``tokenize`` gives to single words."""
     t = tokenize(pa.array([w.lower() for w in words], pa.string()))
