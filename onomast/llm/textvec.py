@@ -60,12 +60,12 @@ class Tokens(NamedTuple):
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; null counts as empty."""
+    """Bytes and offsets of a string or binary array; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
-        texts = pc.fill_null(texts, "")
-    wide = pa.types.is_large_string(texts.type)
+        texts = pc.fill_null(texts, "" if not pa.types.is_binary(texts.type) else b"")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     bufs = texts.buffers()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textvec
 
 BITS = 22
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 PENALTY = 1.0
 RIDGE = 2e-4
 THRESHOLD = 0.3
@@ -96,7 +96,7 @@ def _features(batches):
                 marks.append([int(h[a:b].min()) if b > a else None for a, b in zip(off[:-1], off[1:])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(t.lo, t.rows), batch.column(1).slice(t.lo, t.rows),
-                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(code.astype(np.int32))),
+                 pa.Array.from_buffers(pa.binary(), t.rows, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(code.astype(np.int32))]),
                  pa.array([list(m) for m in zip(*marks)], pa.list_(pa.int64()))],
                 names=["doc_id", "toxic", "codes", "marks"],
             )
@@ -131,39 +131,53 @@ def _logistic(rows, cols, y, w, size, swaps, penalty, ridge, rounds=400):
     return coef, bias
 
 
-def fit(codes: list[np.ndarray], toxic: np.ndarray, votes: np.ndarray, penalty: float = PENALTY, ridge: float = RIDGE) -> Model:
-    """Fits distinct features ``codes`` of each text to 0/1 labels with the given votes."""
-    none = Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
+def _spans(offs: np.ndarray, many: int = 1_000_000):
+    """(first row, end row) of runs of rows with about ``many`` features."""
+    lo = 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + many, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def fit(codes: np.ndarray, offs: np.ndarray, toxic: np.ndarray, votes: np.ndarray, penalty: float = PENALTY, ridge: float = RIDGE) -> Model:
+    """Fits the distinct features ``codes[offs[i]:offs[i + 1]]`` of each text to 0/1 labels with the given votes."""
+    none = np.zeros(0, np.int64), np.zeros(0)
     if not len(toxic) or not votes.sum():
-        return none
-    rate = float(np.clip((votes * toxic).sum() / votes.sum(), 1e-6, 1 - 1e-6))
-    if rate in (1e-6, 1 - 1e-6):
-        return Model(none.codes, none.weights, float(np.log(rate / (1 - rate))))
-    rows = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    every = np.concatenate(codes) if len(codes) else np.zeros(0, np.int64)
-    names, cols = np.unique(every, return_inverse=True)
-    seen = np.bincount(cols, votes[rows], len(names))
-    pos = np.bincount(cols, (votes * toxic)[rows], len(names))
+        return Model(*none, -40.0)
+    rate = float((votes * toxic).sum() / votes.sum())
+    if rate in (0.0, 1.0):
+        return Model(*none, 40.0 * (2 * rate - 1))
+    seen, pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for lo, hi in _spans(offs):
+        part, n = codes[offs[lo] : offs[hi]], np.diff(offs[lo : hi + 1])
+        seen += np.bincount(part, np.repeat(votes[lo:hi], n), 1 << BITS)
+        pos += np.bincount(part, np.repeat((votes * toxic)[lo:hi], n), 1 << BITS)
     # features that tell the classes apart beyond chance, by a binomial z-score on votes
     z = (pos - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
-    terms = {int(c): g for g in IDENTITY_GROUPS for c in fold(textvec.word_hash(list(g)))}
-    named = np.isin(names, list(terms))
-    keep = ((seen >= max(3.0, 0.002 * votes.sum())) & (np.abs(z) >= 4)) | named
-    names, new = names[keep], np.cumsum(keep) - 1
-    ok = keep[cols]
-    rows, cols = rows[ok], new[cols[ok]]
+    keep = (seen >= max(3.0, 0.002 * votes.sum())) & (np.abs(z) >= 4)
+    group = {int(c): [int(x) for x in fold(textvec.word_hash(list(g)))] for g in IDENTITY_GROUPS for c in fold(textvec.word_hash(list(g)))}
+    named = np.zeros(1 << BITS, bool)
+    named[list(group)] = True
+    keep |= named & (seen > 0)
+    names = np.flatnonzero(keep)
     if not len(names):
-        return Model(none.codes, none.weights, float(np.log(rate / (1 - rate))))
-    at = {int(c): k for k, c in enumerate(names)}
-    a, b, w = [], [], []
-    for r, c in zip(rows[np.isin(names[cols], list(terms))], cols[np.isin(names[cols], list(terms))]):
-        for other in fold(textvec.word_hash(list(terms[int(names[c])]))):
-            if int(other) in at and at[int(other)] != c:
-                a.append(c)
-                b.append(at[int(other)])
-                w.append(votes[r])
-    swaps = (np.array(a, np.int64), np.array(b, np.int64), np.array(w, np.float64))
-    coef, bias = _logistic(rows, cols, toxic.astype(float), votes.astype(float), len(names), swaps, penalty, ridge)
+        return Model(*none, float(np.log(rate / (1 - rate))))
+    place = np.cumsum(keep) - 1
+    rows, cols = [], []
+    for lo, hi in _spans(offs):
+        part = codes[offs[lo] : offs[hi]]
+        ok = keep[part]
+        rows.append(np.repeat(np.arange(lo, hi), np.diff(offs[lo : hi + 1]))[ok])
+        cols.append(place[part[ok]])
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    swaps = [
+        (c, place[other], votes[r])
+        for r, c in zip(*(x[named[names[cols]]] for x in (rows, cols)))
+        for other in group[int(names[c])] if keep[other] and place[other] != c
+    ]
+    a, b, w = (np.array(x) for x in zip(*swaps)) if swaps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    coef, bias = _logistic(rows, cols, toxic.astype(float), votes.astype(float), len(names), (a, b, w), penalty, ridge)
     return Model(names, coef, float(bias))
 
 
@@ -178,15 +192,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     sample = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
-    got = sample.mapInArrow(_features, "doc_id long, toxic int, codes array<int>, marks array<long>").toArrow().sort_by([("doc_id", "ascending")])
-    marks = np.array([[m if m is not None else -k - 1 for m in x] for k, x in enumerate(got["marks"].to_pylist())], np.int64).reshape(-1, 4)
+    got = sample.mapInArrow(_features, "doc_id long, toxic int, codes binary, marks array<long>").toArrow()
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    packed = got["codes"].take(pa.array(order)).combine_chunks() if got.num_rows else pa.array([], pa.binary())
+    flat, offs = textvec.raw(packed)
+    marks = np.array([[m if m is not None else -k - 1 for m in x] for k, x in enumerate(got["marks"].to_pylist())], np.int64).reshape(-1, 4)[order]
     times = np.ones(got.num_rows)
     for k in range(4):
         _, ix, n = np.unique(marks[:, k], return_inverse=True, return_counts=True)
         times = np.maximum(times, n[ix])
-    flat = got["codes"].combine_chunks()
-    offs, values = flat.offsets.to_numpy(), flat.values.to_numpy().astype(np.int64)
-    return fit([values[a:b] for a, b in zip(offs[:-1], offs[1:])], got["toxic"].to_numpy(), 1 / times, penalty)
+    return fit(flat.view(np.int32), offs // 4, got["toxic"].to_numpy()[order], 1 / times, penalty)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
