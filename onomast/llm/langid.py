@@ -52,7 +52,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[ok[: len(code)]], np.concatenate([[0], np.cumsum(size)])
 
 
-def svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
     """L2-regularised squared-hinge linear machine for labels -1 and 1, classes weighted alike."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     vote = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
