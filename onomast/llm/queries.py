@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, linededup, neardup, packing, resample, toxicity
-from .common import read
+from . import ann, decontam, htmlx, langid, linededup, neardup, packing, resample, toxicity, warc
+from .common import new_path, read
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC files to the shared folder, and their responses read back."""
+    return warc.round_trip(read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return htmlx.extract(pages, htmlx.train(pages))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(read(spark, sf_dir, "documents"))
 
@@ -45,6 +55,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_warc": op3_warc,
+    "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
@@ -53,4 +65,6 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": "SELECT page_id, url, html FROM pages WHERE html IS NOT NULL",
+}
