@@ -74,14 +74,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint, "doc_id long, a0 long, a1 long, b0 long, b1 long")
 
 
+_LOW7 = np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def _zero_bytes(d: np.ndarray) -> np.ndarray:
+    """Number of zero bytes of each 64-bit word."""
+    t = d & _LOW7
+    t += _LOW7
+    t |= d
+    t |= _LOW7
+    return np.bitwise_count(np.invert(t, out=t))
+
+
 def _near(fp: np.ndarray, i, j) -> np.ndarray:
     """Whether pairs of rows of fp (n x 4 uint64) share enough bytes and lie within both radii."""
     d0, d1 = fp[i, 0] ^ fp[j, 0], fp[i, 1] ^ fp[j, 1]
-    both = np.stack([d0, d1], -1)
-    shared = (both.view(np.uint8) == 0).sum(-1)
-    ok = shared >= MINIMUM
-    ok &= np.bitwise_count(d0).astype(np.int64) + np.bitwise_count(d1) <= RADIUS
-    return ok & (np.bitwise_count(fp[i, 2] ^ fp[j, 2]).astype(np.int64) + np.bitwise_count(fp[i, 3] ^ fp[j, 3]) <= CHECK)
+    ok = _zero_bytes(d0) + _zero_bytes(d1) >= MINIMUM
+    at = np.nonzero(ok)  # few pairs reach the minimum; only they are verified
+    hit = np.bitwise_count(d0[at]) + np.bitwise_count(d1[at]) <= RADIUS
+    at = tuple(x[hit] for x in at)
+    i, j = (np.broadcast_to(x, ok.shape)[at] for x in (i, j))
+    ok[...] = False
+    ok[at] = np.bitwise_count(fp[i, 2] ^ fp[j, 2]) + np.bitwise_count(fp[i, 3] ^ fp[j, 3]) <= CHECK
+    return ok
 
 
 def _search(ids: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -91,7 +106,7 @@ def _search(ids: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
     while len(rest) > 1:
         wave, rest = rest[:1], rest[1:]
         while len(wave) and len(rest):
-            step = max(1, 2_000_000 // len(rest))
+            step = max(1, 500_000 // len(rest))
             block, wave = wave[:step], wave[step:]
             hit = _near(fp, block[:, None], rest[None, :])
             found = hit.any(0)
@@ -116,7 +131,7 @@ def _edges(batches):
         few = (size > 1) & (size <= SMALL)
         for n in np.unique(size[few]):
             i, j = np.triu_indices(n, 1)
-            every = max(1, 1_000_000 // len(i))
+            every = max(1, 500_000 // len(i))
             heads = head[few & (size == n)]
             for lo in range(0, len(heads), every):
                 x = (heads[lo : lo + every, None] + i).ravel()
