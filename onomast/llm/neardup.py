@@ -11,7 +11,7 @@ made of two positions of the same half: of three shared positions two fall in on
 so the 2 * C(8, 2) = 56 lists of a document find every pair that reaches the minimum. Within a
 list the shared positional bytes of each pair are tallied, pairs below the minimum go, and the
 rest are verified by Hamming distance. Nothing is capped: a list of any size is searched whole,
-but it yields only a spanning forest of its near-duplicate pairs, which has the same components.
+but its near-duplicate pairs are passed on as a forest of the same components.
 
 Cost: 56 postings of 44 bytes a distinct fingerprint in one shuffle; list work is a vectorised
 XOR and count. Lists of w-byte postings grow as documents / 256**w.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import components, staged, unstage
+from .common import components, forest, staged
 
 BYTES = 16
 RADIUS = 13
@@ -93,17 +93,18 @@ def _near(fp: np.ndarray, i, j) -> np.ndarray:
     at = np.nonzero(ok)  # few pairs reach the minimum; only they are verified
     hit = np.bitwise_count(d0[at]) + np.bitwise_count(d1[at]) <= RADIUS
     at = tuple(x[hit] for x in at)
-    i, j = (np.broadcast_to(x, ok.shape)[at] for x in (i, j))
     ok[...] = False
-    ok[at] = np.bitwise_count(fp[i, 2] ^ fp[j, 2]) + np.bitwise_count(fp[i, 3] ^ fp[j, 3]) <= CHECK
+    if len(at[0]):
+        i, j = (np.broadcast_to(x, ok.shape)[at] for x in (i, j))
+        ok[at] = np.bitwise_count(fp[i, 2] ^ fp[j, 2]) + np.bitwise_count(fp[i, 3] ^ fp[j, 3]) <= CHECK
     return ok
 
 
 def _search(ids: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the near pairs of one list: breadth-first over rows not yet reached."""
+    """Edges with the components of the near pairs of one list: breadth-first over rows not yet reached, then all pairs of a short rest."""
     out = []
     rest = np.arange(len(ids))
-    while len(rest) > 1:
+    while len(rest) > REST:
         wave, rest = rest[:1], rest[1:]
         while len(wave) and len(rest):
             step = max(1, 500_000 // len(rest))
@@ -114,10 +115,12 @@ def _search(ids: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
                 out.append((ids[block[hit[:, found].argmax(0)]], ids[rest[found]]))
                 wave = np.concatenate([wave, rest[found]])
                 rest = rest[~found]
-    return out
+    i, j = np.triu_indices(len(rest), 1)
+    ok = _near(fp, rest[i], rest[j])
+    return [*out, (ids[rest[i[ok]]], ids[rest[j[ok]]])]
 
 
-SMALL = 48
+SMALL, REST = 256, 1024
 
 
 def _edges(batches):
@@ -142,6 +145,8 @@ def _edges(batches):
             out += _search(ids[h : h + n], fp[h : h + n])
         a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
         b = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
+        a, b = forest(a, b)
+        a, b = a[a != b], b[a != b]
         for lo in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], names=names)
 
