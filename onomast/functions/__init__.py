@@ -1 +1 @@
-
+"""Column functions: text, arrays and numbers, similarity."""

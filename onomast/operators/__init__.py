@@ -1 +1 @@
-
+"""Stages as DataFrame -> DataFrame functions."""

@@ -1 +1 @@
-
+"""The pipeline, its command line, and the query catalogue."""

@@ -1 +1 @@
-
+"""Reading names and writing results."""
