@@ -22,7 +22,7 @@ from ..cut import cut
 from ..functions import arrays
 from ..functions.similarity import metaphone_word, ratios
 
-LONG = 50  # codes of longer words may round up to ratio 100 without being equal
+LONG = 50
 BLOCK = 2048
 
 
@@ -109,8 +109,12 @@ def pair_score(config: LinkConfig = LinkConfig()):
 
 @F.pandas_udf(ArrayType(StringType()))
 def _codes(words: pd.Series) -> pd.Series:
-    """What words of one place must agree in to score 100: the phonetic code, or the word if it has none."""
-    return words.map(lambda ws: [metaphone_word(w) or f"={w}" for w in ws])
+    """What words of one place must agree in to score 100: the phonetic code, or the word if it has none.
+
+    Ratios of words of ``LONG`` letters, or of their codes, may round up to 100; those all agree
+    here, and exact scoring tells them apart.
+    """
+    return words.map(lambda ws: ["#" if len(w) >= LONG else metaphone_word(w) or f"={w}" for w in ws])
 
 
 LISTS = ("imp", "sub", "gen")
@@ -135,10 +139,6 @@ def _keyed(sig: DataFrame) -> DataFrame:
     return sig.filter("size(imp) > 0").withColumn("key", _codes("imp"))
 
 
-def _long(imp: Column) -> Column:
-    return F.exists(imp, lambda w: F.length(w) >= LONG)
-
-
 def _better(score: Column, row_id: Column) -> Column:
     return F.struct(score, -row_id)
 
@@ -205,15 +205,7 @@ def best_matches(inference: DataFrame, reference: DataFrame, config: LinkConfig
     ).select("sig", "m.*"))
     rest = left.join(top.select("sig"), "sig", "left_anti")
     low = cut(residual(rest, right, config).join(right.select(F.col("row_id").alias("ref_id"), F.col("name").alias("matched_name")), "ref_id"))
-    lifted = F.col("score") >= config.important_weight - config.slack
-    # a pair of very long words can reach the gate without equal codes; it is scored in full
-    full = (
-        low.filter(lifted).join(left.select("sig", *[F.col(c).alias(f"l{c}") for c in LISTS]), "sig")
-        .join(right.select(F.col("row_id").alias("ref_id"), *[F.col(c).alias(f"r{c}") for c in LISTS]), "ref_id")
-        .withColumn("s", pair_score(config)(*[F.col(f"r{c}") for c in LISTS], *[F.col(f"l{c}") for c in LISTS]))
-        .select("sig", "ref_id", "matched_name", "s.score", "s.category")
-    )
-    return top.unionByName(low.filter(~lifted).withColumn("category", F.lit(None).cast("string"))).unionByName(full)
+    return top.unionByName(low.withColumn("category", F.lit(None).cast("string")))
 
 
 def match(inference: DataFrame, reference: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
