@@ -103,11 +103,12 @@ def _features(batches):
 
 
 def _logistic(rows, cols, y, w, size, swaps, penalty, ridge, rounds=400):
-    """Accelerated gradient descent on the mean loss; ``swaps``: (from, to, weight) features."""
+    """Accelerated gradient descent on the mean loss; ``swaps``: a row of feature changes for each kind of swap, and their votes."""
     coef, bias = np.zeros(size), 0.0
     total = w.sum()
     per = np.bincount(rows, minlength=len(y))
-    rate = 1 / (0.25 * (np.sum(w * (per + 1)) / total) + ridge + 2 * penalty * (swaps[2].sum() / total if len(swaps[2]) else 0) + 1e-9)
+    change, times = swaps
+    rate = 1 / (0.25 * (np.sum(w * (per + 1)) / total) + ridge + 2 * penalty * np.sum(times * (change**2).sum(1)) / total + 1e-9)
     rate *= 4  # the bound is loose; a step that raises the loss halves it
     last, momentum, prev, prev_b = np.inf, 0.0, coef.copy(), bias
     for it in range(rounds):
@@ -115,12 +116,11 @@ def _logistic(rows, cols, y, w, size, swaps, penalty, ridge, rounds=400):
         look, look_b = coef + momentum * (coef - prev), bias + momentum * (bias - prev_b)
         z = np.bincount(rows, look[cols], len(y)) + look_b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        gap = look[swaps[0]] - look[swaps[1]]
-        loss = np.sum(w * (np.logaddexp(0, z) - y * z)) / total + ridge / 2 * look @ look + penalty * np.sum(swaps[2] * gap**2) / total
+        gap = change @ look
+        loss = np.sum(w * (np.logaddexp(0, z) - y * z)) / total + ridge / 2 * look @ look + penalty * np.sum(times * gap**2) / total
         g = w * (p - y) / total
         grad = np.bincount(cols, g[rows], size) + ridge * look
-        step = 2 * penalty * swaps[2] * gap / total
-        grad += np.bincount(swaps[0], step, size) - np.bincount(swaps[1], step, size)
+        grad += 2 * penalty / total * ((times * gap) @ change)
         if loss > last * 1.02:
             rate /= 2
             prev, prev_b = coef.copy(), bias
@@ -156,9 +156,10 @@ def fit(codes: np.ndarray, offs: np.ndarray, toxic: np.ndarray, votes: np.ndarra
     # features that tell the classes apart beyond chance, by a binomial z-score on votes
     z = (pos - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
     keep = (seen >= max(3.0, 0.002 * votes.sum())) & (np.abs(z) >= 4)
-    group = {int(c): [int(x) for x in fold(textvec.word_hash(list(g)))] for g in IDENTITY_GROUPS for c in fold(textvec.word_hash(list(g)))}
+    terms = {t: textvec.tokenize(pa.array([t])) for g in IDENTITY_GROUPS for t in g}
+    word = {int(fold(t.hash)[0]): k for k, t in terms.items()}
     named = np.zeros(1 << BITS, bool)
-    named[list(group)] = True
+    named[list(word)] = True
     keep |= named & (seen > 0)
     names = np.flatnonzero(keep)
     if not len(names):
@@ -171,13 +172,23 @@ def fit(codes: np.ndarray, offs: np.ndarray, toxic: np.ndarray, votes: np.ndarra
         rows.append(np.repeat(np.arange(lo, hi), np.diff(offs[lo : hi + 1]))[ok])
         cols.append(place[part[ok]])
     rows, cols = np.concatenate(rows), np.concatenate(cols)
-    swaps = [
-        (c, place[other], votes[r])
-        for r, c in zip(*(x[named[names[cols]]] for x in (rows, cols)))
-        for other in group[int(names[c])] if keep[other] and place[other] != c
-    ]
-    a, b, w = (np.array(x) for x in zip(*swaps)) if swaps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    coef, bias = _logistic(rows, cols, toxic.astype(float), votes.astype(float), len(names), (a, b, w), penalty, ridge)
+    # a swap takes the term's own word and beginnings out of a text and puts the other's in
+    votes_of: dict[str, float] = {}
+    for r, c in zip(*(x[named[names[cols]]] for x in (rows, cols))):
+        votes_of[word[int(names[c])]] = votes_of.get(word[int(names[c])], 0.0) + float(votes[r])
+    change, times = [], []
+    for g in IDENTITY_GROUPS:
+        for t in g:
+            for other in g:
+                if t in votes_of and other != t:
+                    d = np.zeros(len(names))
+                    for sign, x in ((-1, t), (1, other)):
+                        c = np.unique(features(terms[x], keep)[0])
+                        d[place[c]] += sign
+                    change.append(d)
+                    times.append(votes_of[t])
+    swaps = np.array(change).reshape(-1, len(names)), np.array(times)
+    coef, bias = _logistic(rows, cols, toxic.astype(float), votes.astype(float), len(names), swaps, penalty, ridge)
     return Model(names, coef, float(bias))
 
 
