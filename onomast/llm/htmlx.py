@@ -10,8 +10,8 @@ down the tree.
 
 The trees are fitted on at most ``MAX_PAGES`` pages (those of the least hashed page_id). What
 counts as content there is told by the author's own markup: text in ``article`` or ``main``,
-outside ``nav``, ``aside``, ``header`` and ``footer``. These names aren't features, so what is
-learned holds for pages without them. Extraction is one pass without a shuffle.
+outside ``nav``, ``aside``, ``header`` and ``footer``. For the features all of these are plain
+divisions, so what is learned holds for pages without them. Extraction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ _BLOCK = frozenset(
 )
 _CONTENT, _OTHER = frozenset(["article", "main"]), frozenset(["nav", "aside", "header", "footer"])
 _KINDS = {t: k for k, t in enumerate(["p", "div", "li", "ul", "a", "h1", "h2", "h3", "td", "tr", "table", "span", "b", "pre", "blockquote", "section", "form", "img"], 1)}
+_KINDS |= {t: _KINDS["div"] for t in ("article", "main", "nav", "aside", "header", "footer", "section", "body")}
 _HASHED = 8
 _PUNCT = re.compile(r"[.,;:!?]")
 
