@@ -54,6 +54,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while stem in have:
+        stem += "_"
+    return stem
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Contracts edges (a, b): every node that occurs with the least node of its component."""
     nodes, ix = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import staged
+from .common import fresh, staged
 
 RADIUS = 19
 SIMILARITY = 0.5
@@ -250,5 +250,6 @@ def matches(docs: DataFrame, bench: DataFrame, slice_items: int = SLICE) -> Data
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item; null ids are kept."""
-    bad = staged(matches(docs, bench).filter("doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    mark = fresh(docs, "_bad")
+    bad = staged(matches(docs, bench).filter("doc_id is not null").select(F.col("doc_id").alias(mark)).distinct(), "leaks")
+    return docs.join(bad, docs["doc_id"] == F.col(mark), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 RARE_WORDS = 10
 BLOCK_WORDS = 10
@@ -174,14 +174,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own = docs.columns
     found = staged(deletions(docs), "deletions")
-    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    left = F.array_join(
-        F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"
-    )
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    out = out.filter(F.col("_gone").isNull() | F.col("text").rlike(r"\S"))
+    i, h, g = (fresh(docs, c) for c in ("_id", "_hash", "_gone"))
+    gone = found.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("gone").alias(g))
+    joined = docs.join(gone, (docs["doc_id"] == F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
+    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, k: ~F.array_contains(F.col(g), k)), "\n")
+    out = joined.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(left))
+    out = out.filter(F.col(g).isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in own:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*[F.col(f"`{c}`") for c in own])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import components, forest, staged
+from .common import components, forest, fresh, staged
 
 BYTES = 16
 RADIUS = 13
@@ -209,12 +209,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay. Where rows repeat a doc_id that stays, one of them stays: the
     one of the least text (null first).
     """
-    own = docs.columns
-    found = groups(docs)
-    gone = found.filter("doc_id <> group_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
-    single = kept.join(again, kept["doc_id"] == F.col("_again"), "left_anti")
-    repeated = kept.join(again, kept["doc_id"] == F.col("_again"), "left_semi")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    mark = fresh(docs, "_mark")
+    gone = groups(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias(mark))
+    kept = docs.join(gone, docs["doc_id"] == F.col(mark), "left_anti")
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    again = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(mark))
+    single = kept.join(again, kept["doc_id"] == F.col(mark), "left_anti")
+    repeated = kept.join(again, kept["doc_id"] == F.col(mark), "left_semi")
     one = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*own), F.struct(F.col("text").isNotNull(), "text")).alias("_row"))
     return single.unionByName(one.select("_row.*"))
