@@ -202,7 +202,7 @@ def _(spark, d):
     return readers.as_table(spark, _active(spark, d)).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("prj1_copy_of_name", "SELECT row_id, part, original_name FROM split", "split")
+@query("prj1_copy_of_name", "SELECT row_id, CAST(part AS INTEGER) AS part, original_name FROM split", "split")
 def _(spark, d):
     return names.split_names(_variants(spark, d)).select("row_id", "part", "original_name")
 
@@ -238,7 +238,7 @@ def _(spark, d):
     return _names(spark, d).select("row_id", F.lit("").alias("matched_name"), F.size(F.array().cast("array<string>")).alias("n"))
 
 
-@query("prj9_missing_list_to_empty", "SELECT b.row_id, coalesce(h.n, 0) AS n FROM best b LEFT JOIN (SELECT name, count(*) AS n FROM active GROUP BY name) h ON h.name = b.ref_name", "best", "active")
+@query("prj9_missing_list_to_empty", "SELECT b.row_id, CAST(coalesce(h.n, 0) AS INTEGER) AS n FROM best b LEFT JOIN (SELECT name, count(*) AS n FROM active GROUP BY name) h ON h.name = b.ref_name", "best", "active")
 def _(spark, d):
     return report.with_history(match.match(*_sides(spark, d)), _active(spark, d)).select("row_id", F.size("history").alias("n"))
 
@@ -368,7 +368,7 @@ def _(spark, d):
 # --- aggregates
 
 
-@query("agg1_term_frequency", "SELECT row_id, word, pos, round(tf, 6) AS tf FROM tf", "tf")
+@query("agg1_term_frequency", "SELECT row_id, word, CAST(pos AS INTEGER) AS pos, round(tf, 6) AS tf FROM tf", "tf")
 def _(spark, d):
     return weights.term_frequency(_folded(spark, d), ("fold",)).select("row_id", "word", "pos", r6("tf"))
 
@@ -502,7 +502,7 @@ def _(spark, d):
     return report.counted_first(_names(spark, d).withColumn("branch", F.lit(0))).select("row_id", F.col("count").alias("n"))
 
 
-@query("exp1_name_parts", "SELECT row_id, part, name FROM split", "split")
+@query("exp1_name_parts", "SELECT row_id, CAST(part AS INTEGER) AS part, name FROM split", "split")
 def _(spark, d):
     return names.split_names(_variants(spark, d)).select("row_id", "part", "name")
 

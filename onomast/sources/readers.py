@@ -32,7 +32,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: S
 def read_excel(spark: SparkSession, path: str, **options) -> DataFrame:
     """A sheet by way of the driver, for the small tables that sheets are; needs an Excel reader for pandas."""
     try:
-        sheet = pd.read_excel(path, **options)
+        sheet = pd.read_excel(path, **{"engine": "openpyxl"} | options)
     except ImportError as missing:
         raise NotImplementedError("reading Excel needs openpyxl; save the sheet as CSV or Parquet") from missing
     return from_pandas(spark, sheet)
