@@ -2,13 +2,19 @@
 
 Lines are hashed after trimming. A line is rare enough to prove that two documents overlap when
 it has at least ``RARE_WORDS`` words: texts written apart never agree on so long a line, while
-short lines recur by chance. A shorter line counts together with the next ones that make up that
-many words. Each document pairs with the first document (least doc_id) that holds each of its
-rare lines; as that one keeps the line, these pairs suffice to find every later
-copy, and their number is at most that of the lines however many documents share one. Each pair
-is aligned by patience diff: lines unique in both texts, their longest increasing run, extended
-over equal neighbours, and again between them. The runs of aligned lines are the common blocks;
-those with at least ``BLOCK_WORDS`` words are deleted from the later document.
+short lines recur by chance. A shorter line counts together with the next or the previous ones
+that make up that many words. Each pair is aligned by patience diff: lines unique in both texts,
+their longest increasing run, extended over equal neighbours, and again between them. The runs of
+aligned lines are the common blocks; those with at least ``BLOCK_WORDS`` words are deleted from
+the later document.
+
+The result is that of aligning each document with every earlier one (by doc_id) that shares a
+rare run. First each document is paired with the first holder of each of its rare runs. Where an
+occurrence of one is not wholly deleted by then (the alignment can't cross another one, or one of
+the two repeats the line), the document goes on to the next holders, ``GROWTH`` times as many each
+round, until the run is gone or no earlier holder is left. Every line of a common block is in a
+rare run within the block, so no later pair could delete more. Usually the first holders delete
+nearly all and pairs are fewer than lines; a run that no holder aligns costs a pair for each one.
 """
 
 from __future__ import annotations
@@ -16,13 +22,14 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, staged
+from .common import fresh, staged, unstage
 
 RARE_WORDS = 10
 BLOCK_WORDS = 10
+GROWTH = 8
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,18 +110,26 @@ def _align(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["key", "gone"])
 
 
-def rare_lines(lines: list, words: list[int], least: int = RARE_WORDS) -> set[int]:
-    """Hashes of the shortest runs of lines, one from each line on, of at least ``least`` words."""
-    out = set()
+def rare_runs(lines: list, words: list[int], least: int = RARE_WORDS):
+    """(hash, positions) of the shortest runs of lines, from each line on and up to it, of at least ``least`` words."""
     full = [k for k, h in enumerate(lines) if h is not None]
     for at, k in enumerate(full):
-        h, n = lines[k], words[k]
-        while n < least and (at := at + 1) < len(full):
-            n += words[full[at]]
-            h = (h * 0x9E3779B97F4A7C15 + lines[full[at]] + 1 + 2**63) % 2**64 - 2**63
-        if n >= least:
-            out.add(h)
-    return out
+        for step in (1, -1) if words[k] < least else (1,):
+            n, end = words[k], at
+            while n < least and 0 <= end + step < len(full):
+                end += step
+                n += words[full[end]]
+            if n >= least:
+                run = full[min(at, end) : max(at, end) + 1]
+                h = lines[run[0]]
+                for x in run[1:]:
+                    h = (h * 0x9E3779B97F4A7C15 + lines[x] + 1 + 2**63) % 2**64 - 2**63
+                yield h, run
+
+
+def rare_lines(lines: list, words: list[int], least: int = RARE_WORDS) -> set[int]:
+    """Hashes of the rare runs."""
+    return {h for h, _ in rare_runs(lines, words, least)}
 
 
 def _rare(batches):
@@ -123,6 +138,17 @@ def _rare(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "rare"])
 
 
+def _kept(batches):
+    """Of the rare runs asked for, those of which an occurrence isn't wholly deleted."""
+    for batch in batches:
+        key, asked, lines, words, gone = (c.to_pylist() for c in batch.columns)
+        left = []
+        for a, h, n, g in zip(asked, lines, words, gone):
+            a, g = set(a), set(g or ())
+            left.append(sorted({x for x, run in rare_runs(h, n) if x in a and not g.issuperset(run)}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.list_(pa.int64()))], names=["key", "left"])
+
+
 def _lines(text):
     return F.split(text, "\n", -1)
 
@@ -149,17 +175,45 @@ def deletions(docs: DataFrame) -> DataFrame:
     )
     rare = found.select(F.struct("doc_id", "text_hash", "key").alias("doc"), F.explode("rare").alias("line"))
     firsts = rare.groupBy("line").agg(F.min("doc").alias("one"), F.count("*").alias("n")).filter("n > 1").select("line", "one")
-    pairs = (
-        rare.join(firsts, "line").filter("doc.key <> one.key")
-        .select(F.col("doc.key").alias("key"), F.col("one.key").alias("one")).distinct()
-    )
-    later = lined.select("key", F.col("lines").alias("b"), "words")
-    one = lined.select(F.col("key").alias("one"), F.col("lines").alias("a"))
-    gone = (
-        pairs.join(one, "one").join(later, "key").select("key", "a", "b", "words")
-        .mapInArrow(_align, "key long, gone array<int>")
-        .groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    shared = staged(rare.join(firsts, "line").select("line", "doc", "one"), "shared")
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        later = lined.select("key", F.col("lines").alias("b"), "words")
+        one = lined.select(F.col("key").alias("one"), F.col("lines").alias("a"))
+        return pairs.distinct().join(one, "one").join(later, "key").select("key", "a", "b", "words").mapInArrow(_align, "key long, gone array<int>")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return staged(found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
+
+    def kept(asked: DataFrame) -> DataFrame:
+        """The (key, line) of those asked for that ``gone`` leaves in place."""
+        return (
+            asked.groupBy("key").agg(F.collect_set("line").alias("asked")).join(lined, "key").join(gone, "key", "left")
+            .select("key", "asked", "lines", "words", "gone").mapInArrow(_kept, "key long, left array<long>")
+            .select("key", F.explode("left").alias("line"))
+        )
+
+    later = shared.filter("doc.key <> one.key").select(F.col("doc.key").alias("key"), F.col("one.key").alias("one"), "line")
+    gone = merged(aligned(later.select("key", "one")))
+    left = staged(kept(later), "kept")
+    by_line = Window.partitionBy("line").orderBy("doc")
+    holders = staged(
+        shared.join(left.select("line").distinct(), "line", "left_semi")
+        .select("line", F.col("doc.key").alias("one"), F.row_number().over(by_line).alias("place")),
+        "holders",
     )
+    left = left.join(holders.select("line", F.col("one").alias("key"), F.col("place").alias("own")), ["line", "key"])
+    lo = 2  # the first one is done
+    while True:
+        todo = staged(left.filter(F.col("own") > lo), "todo")
+        if todo.isEmpty():
+            break
+        hi = lo * GROWTH
+        some = holders.filter(F.col("place").between(lo, hi - 1))
+        before, gone = gone, merged(gone.union(aligned(todo.join(some, "line").filter("place < own").select("key", "one"))))
+        unstage(before)
+        left = todo.join(kept(todo), ["line", "key"], "left_semi")
+        lo = hi
     return gone.join(lined.select("key", "doc_id", "text_hash"), "key").select("doc_id", "text_hash", "gone")
 
 

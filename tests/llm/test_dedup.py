@@ -84,6 +84,34 @@ def test_line_dedup_against_all_pairs(spark):
     assert 50 not in got and got[51] == "Head." and passage in got[0] and passage.split("\n")[1] not in got[3]
 
 
+def lines_against_all_earlier(rows):
+    """The result by aligning every document with each earlier one."""
+    split = {i: [x.strip() or None for x in t.split("\n")] for i, t in rows}
+    out = {}
+    for at, (i, t) in enumerate(rows):
+        ws = [len(x.split()) if x else 0 for x in split[i]]
+        gone = set().union(*(linededup.common_blocks(split[o], split[i], ws) for o, _ in rows[:at]))
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        if not gone or left.strip():
+            out[i] = left
+    return out
+
+
+def test_line_dedup_against_all_earlier_documents(spark):
+    """Passages that cross, that one text repeats or that end in short lines."""
+    parts = [prose(900 + k, 24) for k in range(4)] + [prose(910, 12) + "\nshort\nend", prose(910, 12) + "\nshort\nlast", "a b\n" + prose(911, 12)]
+    r = random.Random(5)
+    rows = [(0, parts[0] + "\n" + prose(0, 36) + "\n" + parts[1]), (1, prose(1, 36) + "\n" + parts[1]), (2, parts[0] + "\n" + prose(2, 36))]
+    rows.append((3, parts[1] + "\n" + prose(3, 36) + "\n" + parts[0]))
+    for i in range(4, 60):
+        some = [parts[r.randrange(len(parts))] for _ in range(r.randint(1, 4))]
+        rows.append((i, "\n".join([x for p in some for x in (p, prose(1000 + 10 * i + len(p), 24))])))
+    want = lines_against_all_earlier(rows)
+    got = {x.doc_id: x.text for x in linededup.line_dedup(docs(spark, rows)).collect()}
+    assert got[3] == prose(3, 36)
+    assert got == want
+
+
 def test_line_dedup_edges(spark):
     body = prose(1)
     rows = [(None, body), (1, None), (2, ""), (3, body), (3, body), (4, body + "\nmore words here"), (5, prose(7, 20_000)), (6, "   \n\n")]
