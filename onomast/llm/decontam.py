@@ -1,17 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Texts are compared as word trigrams. A trigram of an item weighs log((1 + N) / (1 + df)) with df
-the number of documents that hold it among all N; one of no item weighs as if no document held
-it. For every item length a window of as many words runs over the text. Windows whose benchmark
-trigrams alone are too light to reach ``SIMILARITY`` can't pass the last step and aren't
-fingerprinted. The others get a 64-bit weighted SimHash, and four 16-bit blocks of it are looked
+Texts are compared as word trigrams. A trigram weighs log((1 + N) / (1 + df)) with df the number of
+documents that hold it among all N. For every item length a window of as many words runs over the
+text. Windows whose benchmark trigrams alone are too light to reach ``SIMILARITY`` can't pass the
+last step and aren't fingerprinted; the trigrams of no item in the others are counted over all
+documents in a second pass. These windows get a 64-bit weighted SimHash, and four 16-bit blocks of it are looked
 up among the blocks of the items of that length: a pair within ``RADIUS`` bits has a block within
 ``RADIUS // 4`` bits, and the index holds every value that close, so no pair within the radius is
 missed. Candidates are verified by the weighted Jaccard similarity of their trigram sets. Items of
 fewer than three words have one shingle, of all their words.
 
 The benchmark is broadcast in slices of at most ``SLICE`` items, one scan of the corpus each; its
-size, not that of the corpus, decides their number. Documents aren't shuffled.
+size, not that of the corpus, decides their number. Only documents with such a window are shuffled,
+as word hashes, and joined with the counts of their trigrams.
 """
 
 from __future__ import annotations
@@ -105,14 +106,13 @@ class Benchmark:
         far = [(k, (int(of[k]) ^ fp).bit_count()) for k in sorted(found)]
         return [(int(self.lengths[n][k]), d) for k, d in far if d <= RADIUS]
 
-    def similarity(self, i: int, window: np.ndarray) -> float:
+    def similarity(self, i: int, window: np.ndarray, weights: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and the distinct shingles of a window."""
         both = float(self.weigh(np.intersect1d(self.shingles[i], window, assume_unique=True)).sum())
-        return both / (self.total[i] + float(self.weigh(window).sum()) - both)
+        return both / (self.total[i] + float(weights.sum()) - both)
 
-    def search(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, distance, similarity) of the most similar window of each item found."""
-        best: dict[int, tuple] = {}
+    def windows(self, words: np.ndarray):
+        """(item length, first word, distinct shingles) of the windows that can reach the similarity."""
         for k in sorted({min(3, n, len(words)) for n in self.lengths}) if len(words) else ():
             sh = item_shingles(words, k)
             at = np.minimum(np.searchsorted(self.vocab, sh), len(self.vocab) - 1)
@@ -132,11 +132,28 @@ class Benchmark:
                 span = min(n, len(words)) - k + 1
                 heavy = total[span:] - total[:-span]
                 for lo in np.flatnonzero(heavy >= self.least[n] - 1e-6):
-                    window = np.unique(sh[lo : lo + span])
-                    for i, d in self.candidates(simhash(window, self.weigh(window)), n):
-                        s = self.similarity(i, window)
-                        if s >= SIMILARITY and (i not in best or (-s, d, lo) < best[i][:3]):
-                            best[i] = (-s, d, int(lo))
+                    yield n, int(lo), np.unique(sh[lo : lo + span])
+
+    def others(self, words: np.ndarray) -> np.ndarray | None:
+        """Distinct shingles of no item in the windows of a text; None if there is no window."""
+        found = [window for _, _, window in self.windows(words)]
+        return np.setdiff1d(np.unique(np.concatenate(found)), self.vocab, assume_unique=True) if found else None
+
+    def search(self, words: np.ndarray, others: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(item, first word, distance, similarity) of the most similar window of each item found.
+
+        ``weight`` are the weights of ``others``, the ascending shingles of no item.
+        """
+        best: dict[int, tuple] = {}
+        for n, lo, window in self.windows(words):
+            w = self.weigh(window)
+            if len(others):
+                k = np.minimum(np.searchsorted(others, window), len(others) - 1)
+                w = np.where(others[k] == window, weight[k], w)
+            for i, d in self.candidates(simhash(window, w), n):
+                s = self.similarity(i, window, w)
+                if s >= SIMILARITY and (i not in best or (-s, d, lo) < best[i][:3]):
+                    best[i] = (-s, d, lo)
         return [(self.ids[i], lo, d, -s) for i, (s, d, lo) in sorted(best.items())]
 
 
@@ -185,6 +202,31 @@ def _document_counts(docs: DataFrame, vocab: np.ndarray, sizes: tuple[int, ...])
     return int(n[k < 0].sum()), out
 
 
+def _other_counts(docs: DataFrame, others: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """``(h, n)``: the number of texts that hold each of the shingles ``others(h)``, over all documents."""
+    top = others.select(F.shiftrightunsigned("h", 42).alias("t")).distinct().toArrow()["t"].to_numpy()
+    maybe = np.zeros(1 << 22, bool)
+    maybe[top] = True
+    shared = docs.sparkSession.sparkContext.broadcast(maybe)
+
+    def run(batches):
+        maybe = shared.value
+        for batch in batches:
+            for t in textvec.chunks(batch.column(0)):
+                for _, h, offs in _all_shingles(t, sizes):
+                    ok = np.flatnonzero(maybe[h >> np.uint64(42)])
+                    row = np.searchsorted(offs, ok, "right")
+                    order = np.lexsort((h[ok], row))
+                    g, row = h[ok][order], row[order]
+                    new = np.ones(len(g), bool)
+                    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+                    one, n = np.unique(g[new], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    seen = docs.filter("text is not null").select("text").mapInArrow(run, "h long, n long")
+    return seen.groupBy("h").agg(F.sum("n").alias("n")).join(others, "h", "left_semi")
+
+
 def _sieve(vocab: np.ndarray) -> np.ndarray:
     out = np.zeros(1 << 22, bool)
     out[vocab >> np.uint64(42)] = True
@@ -214,12 +256,12 @@ def matches(docs: DataFrame, bench: DataFrame, slice_items: int = SLICE) -> Data
             Benchmark(ids[part], words[part], shingles[part], vocab, weight, float(np.log(1 + count) + 1e-3))
         )
 
-        def run(batches, shared=shared, sizes=sizes):
+        def hopeful_rows(batches, shared=shared, sizes=sizes):
             b = shared.value
             maybe, least = _sieve(b.vocab), min(b.least.values())
             longest = max(b.words)
             for batch in batches:
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], []]
                 for t in textvec.chunks(batch.column(1)):
                     hopeful = np.zeros(t.rows, bool)
                     for k in sizes:
@@ -236,15 +278,41 @@ def matches(docs: DataFrame, bench: DataFrame, slice_items: int = SLICE) -> Data
                         end = np.searchsorted(place, place + longest)
                         hopeful[row[total[end] - total[:-1] >= least - 1e-6]] = True
                     for r in np.flatnonzero(hopeful):
-                        for found in b.search(t.hash[t.row[r] : t.row[r + 1]]):
-                            for c, x in zip(cols, (batch.column(0)[t.lo + int(r)].as_py(), *found)):
+                        text = t.hash[t.row[r] : t.row[r + 1]]
+                        others = b.others(text)
+                        if others is not None:
+                            for c, x in zip(cols, (batch.column(0)[t.lo + int(r)].as_py(), text.view(np.int64), others.view(np.int64))):
                                 c.append(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], names=["doc_id", "words", "others"]
+                )
+
+        def run(batches, shared=shared, count=count):
+            b = shared.value
+            for batch in batches:
+                cols: list[list] = [[], [], [], [], []]
+                for doc, text, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                    h = np.array([x["h"] for x in known or ()], np.int64).view(np.uint64)
+                    n = np.array([x["n"] for x in known or ()], np.int64)
+                    order = np.argsort(h)
+                    weight = np.log((1 + count) / (1 + n[order])) + 1e-3
+                    for found in b.search(text.values.to_numpy().view(np.uint64), h[order], weight):
+                        for c, x in zip(cols, (doc, *found)):
+                            c.append(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.float64()])],
                     names=["doc_id", "item_id", "first_word", "distance", "similarity"],
                 )
 
-        out = out.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+        rows = staged(
+            docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hopeful_rows, "doc_id long, words array<long>, others array<long>")
+            .withColumn("row", F.monotonically_increasing_id()),
+            "windows",
+        )
+        asked = rows.select("row", F.explode("others").alias("h"))
+        counts = _other_counts(docs, asked.select("h").distinct(), sizes)
+        known = asked.join(counts, "h").groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("known"))
+        out = out.union(rows.join(known, "row", "left").select("doc_id", "words", "known").mapInArrow(run, schema))
     return out.distinct()
 
 

@@ -247,6 +247,26 @@ def test_matches_against_all_windows(spark):
     assert {(m.doc_id, m.item_id) for m in sliced} >= {(100 + k, k) for k in range(8)}
 
 
+def test_edited_copies_weigh_by_true_frequencies(spark):
+    """An edited item that many documents hold: the trigrams round the change aren't rarer than the others."""
+    words = prose(1501, 20, 20).split()
+    edited = " ".join([*words[:10], "changed", *words[11:]])
+    rows = [(k, prose(3000 + k, 40)) for k in range(360)] + [(1000 + k, prose(4000 + k, 20) + " " + edited + " " + prose(5000 + k, 20)) for k in range(40)]
+    tok = {d: textvec.tokenize(pa.array([t])).hash for d, t in rows}
+    item = {int(x) for x in decontam.item_shingles(textvec.tokenize(pa.array([" ".join(words)])).hash)}
+    sets = {d: {int(x) for x in decontam.item_shingles(h)} for d, h in tok.items()}
+    weight = {v: np.log(401 / (1 + sum(v in s for s in sets.values()))) + 1e-3 for v in item.union(*(sets[1000 + k] for k in range(40)))}
+    want = {}
+    for d in range(1000, 1040):
+        sims = []
+        for lo in range(len(tok[d]) - 19):
+            w = {int(x) for x in decontam.item_shingles(tok[d][lo : lo + 20])}
+            sims.append(sum(weight[x] for x in w & item) / sum(weight[x] for x in w | item))
+        want[d] = max(sims)
+    got = {m.doc_id: m.similarity for m in decontam.matches(docs(spark, rows), items(spark, [(1, " ".join(words))])).collect()}
+    assert min(want.values()) >= decontam.SIMILARITY and got == pytest.approx(want)
+
+
 def test_blocks_miss_nothing_within_the_radius():
     r = random.Random(9)
     hashes = [np.unique(np.array([r.getrandbits(64) for _ in range(30)], np.uint64)) for _ in range(20)]
