@@ -323,3 +323,11 @@ def test_odd_files(zipped):
     assert list(warc.records(io.BytesIO(b""), False)) == [] and list(warc.records(io.BytesIO(b"junk\n"), False)) == []
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(b"junk\n"), False, failfast=True))
+
+
+def test_toxicity_fits_on_twenty_thousand_labels(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda codes, offs, toxic, *rest: fitted.append(len(toxic)))
+    texts = spark.range(21_000).selectExpr("id as doc_id", "concat('word', id) as text")
+    toxicity.train(texts, spark.range(21_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic"))
+    assert fitted == [20_000]
