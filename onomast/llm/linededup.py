@@ -84,18 +84,18 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(first: list, later: list, words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Positions of ``later`` in aligned blocks of at least ``least`` words."""
+    """Positions of ``later`` in aligned blocks of at least ``least`` words; blank lines between don't end a block."""
     gone: list[int] = []
     block: list[int] = []
-    before = (-2, -2)
-    for i, j in [*patience(first, later), (-9, -9)]:
-        if block and (i, j) != (before[0] + 1, before[1] + 1):
+    before = (-1, -1)
+    for i, j in patience(first, later):
+        if any(h is not None for h in first[before[0] + 1 : i]) or any(h is not None for h in later[before[1] + 1 : j]):
             if sum(words[k] for k in block) >= least:
                 gone += block
             block = []
         block.append(j)
         before = (i, j)
-    return gone
+    return gone + block if sum(words[k] for k in block) >= least else gone
 
 
 def _align(batches):

@@ -41,6 +41,13 @@ def test_patience_is_a_common_subsequence():
         assert all(p[1] < q[1] for p, q in zip(got, got[1:]))
 
 
+def test_blank_lines_do_not_end_a_block():
+    a = [1, 2, 3, 4]
+    b = [9, 1, None, 2, None, None, 3, 8, 4]
+    assert linededup.common_blocks(a, b, [7, 7, 0, 7, 0, 0, 7, 7, 7]) == [1, 3, 6]
+    assert linededup.common_blocks(b, a, [7, 7, 7, 7]) == [0, 1, 2] and linededup.common_blocks([], a, [7] * 4) == []
+
+
 def lines_by_hand(rows):
     """The result by comparing every pair of documents that share a rare run."""
     def hashed(t):
