@@ -180,42 +180,55 @@ def near_edges(distinct: DataFrame) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_edges, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Near-duplicate groups: ``(doc_id, group_id)`` for each distinct document id.
-
-    ``group_id`` is the least doc_id of the group, which is the document that stays. Groups are
-    the connected components of the near-duplicate relation. Documents of equal fingerprints,
-    exact copies among them, form one node. Null or token-free texts are alone in their groups;
-    rows of one doc_id are one document (its least fingerprint counts); a null doc_id is left
-    out. An empty table gives an empty result; other columns are ignored.
-    """
+def _groups(docs: DataFrame) -> DataFrame:
+    """``(doc_id, group_id, rows)``, rows the number of rows of the id."""
     fps = staged(
         fingerprints(docs.filter("doc_id is not null")).groupBy("doc_id")
-        .agg(F.min(F.struct("a0", "a1", "b0", "b1")).alias("f")).select("doc_id", "f.*"),
+        .agg(F.min(F.struct("a0", "a1", "b0", "b1")).alias("f"), F.count("*").alias("rows")).select("doc_id", "rows", "f.*"),
         "fingerprints",
     )
     cols = ["a0", "a1", "b0", "b1"]
     node = fps.filter("a0 is not null").groupBy(*cols).agg(F.min("doc_id").alias("doc_id"))
     roots = components(near_edges(node.select("doc_id", *cols)))
     named = node.join(roots, node["doc_id"] == roots["node"], "left").select(*cols, F.coalesce("root", "doc_id").alias("group_id"))
-    return (
-        fps.join(named, cols, "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
-    )
+    return fps.join(named, cols, "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), "rows")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """Near-duplicate groups: ``(doc_id, group_id)`` for each distinct document id, a whole number.
+
+    ``group_id`` is the least doc_id of the group, which is the document that stays. Groups are
+    the connected components of the near-duplicate relation. Documents of equal fingerprints,
+    exact copies among them, form one node. Null or token-free texts are alone in their groups;
+    rows of one doc_id are one document (its least fingerprint counts); a null doc_id is left
+    out. Very long texts are hashed whole. An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
+    """
+    return _groups(docs).select("doc_id", "group_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group: the one of the least doc_id, all columns kept.
 
     Rows with a null doc_id stay. Where rows repeat a doc_id that stays, one of them stays: the
-    one of the least text (null first).
+    one of the least text (null first), then of the least JSON of the other columns. Null, empty
+    and token-free texts stay. An empty table stays empty; columns of any name are kept.
+
+    The fates of documents are one narrow table, of the ids that go or repeat; the texts are
+    joined with it once. Only if an id repeats are its rows read again and grouped.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
     mark = fresh(docs, "_mark")
-    gone = groups(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias(mark))
-    kept = docs.join(gone, docs["doc_id"] == F.col(mark), "left_anti")
-    ids = docs.select("doc_id").filter("doc_id is not null")
-    again = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(mark))
-    single = kept.join(again, kept["doc_id"] == F.col(mark), "left_anti")
-    repeated = kept.join(again, kept["doc_id"] == F.col(mark), "left_semi")
-    one = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*own), F.struct(F.col("text").isNotNull(), "text")).alias("_row"))
-    return single.unionByName(one.select("_row.*"))
+    fate = staged(
+        _groups(docs).filter("doc_id <> group_id or rows > 1").select(F.col("doc_id").alias(mark), (F.col("doc_id") != F.col("group_id")).alias("goes")),
+        "fate",
+    )
+    named = docs.filter("doc_id is not null")  # nulls, however many, would meet in one task of the join
+    out = named.join(fate.select(mark), named["doc_id"] == F.col(mark), "left_anti").unionByName(docs.filter("doc_id is null"))
+    again = fate.filter("not goes").select(mark)
+    if again.isEmpty():
+        return out
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("text").isNotNull(), "text", *([F.to_json(F.struct(*rest))] if rest else []))
+    one = named.join(again, named["doc_id"] == F.col(mark), "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*own), order).alias("_row"))
+    return out.unionByName(one.select("_row.*"))

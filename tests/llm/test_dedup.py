@@ -198,7 +198,15 @@ def test_near_dedup_edges(spark):
     got = neardup.near_dedup(docs(spark, rows, extra=True))
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == [-1, -1, 1, 2, 3, 4, 6, 7]
     assert got.columns[-6:] == ["key", "a", "_id", "gone", "group_id", "rank"]
-    assert neardup.groups(docs(spark, [])).count() == 0
+    assert neardup.groups(docs(spark, [])).count() == 0 == neardup.near_dedup(docs(spark, [])).count()
+
+
+def test_of_repeated_ids_the_least_row_stays(spark):
+    t = prose(5)
+    df = spark.createDataFrame([(1, t, "b", 2), (1, t, "a", 9), (1, t, "a", 3), (2, None, "x", 1), (2, "z", "x", 0), (3, "w w", "x", 1)], "doc_id long, text string, source string, n int")
+    for parts in (1, 5):
+        got = sorted((r.doc_id, r.text, r.source, r.n) for r in neardup.near_dedup(df.repartition(parts)).collect())
+        assert got == [(1, t, "a", 3), (2, None, "x", 1), (3, "w w", "x", 1)]
 
 
 # --- decontamination
