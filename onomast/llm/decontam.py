@@ -5,13 +5,15 @@ documents that hold it among all N. For every item length a window of as many wo
 text. Windows whose benchmark trigrams alone are too light to reach ``SIMILARITY`` can't pass the
 last step and aren't fingerprinted; the trigrams of no item in the others are counted over all
 documents in a second pass. These windows get a 64-bit weighted SimHash, and four 16-bit blocks of it are looked
-up among the blocks of the items of that length: a pair within ``RADIUS`` bits has a block within
-``RADIUS // 4`` bits, and the index holds every value that close, so no pair within the radius is
-missed. Candidates are verified by the weighted Jaccard similarity of their trigram sets. Items of
+up in the index of the items of that length, which lists the items of each value that a block has:
+a pair within ``RADIUS`` bits has a block within ``RADIUS // 4`` bits, and every value that close is
+looked up, so no pair within the radius is missed. Flipping bits on the side of the windows keeps
+the index at some 40 bytes an item. Candidates are verified by the weighted Jaccard similarity of their trigram sets. Items of
 fewer than three words have one shingle, of all their words.
 
-The benchmark is broadcast in slices of at most ``SLICE`` items, one scan of the corpus each; its
-size, not that of the corpus, decides their number. Only documents with such a window are shuffled,
+The benchmark is broadcast in slices of at most ``SLICE`` items; its size, not that of the corpus,
+decides their number. Each slice scans the corpus three times: to count its trigrams, to find
+windows, and to count the other trigrams of these. Only documents with such a window are shuffled,
 as word hashes, and joined with the counts of their trigrams.
 """
 
@@ -32,7 +34,7 @@ RADIUS = 19
 SIMILARITY = 0.5
 SLICE = 20_000
 _BLOCK_RADIUS = RADIUS // 4
-_FLIPS = np.array([sum(1 << b for b in c) for k in range(_BLOCK_RADIUS + 1) for c in combinations(range(16), k)], np.uint64)
+_FLIPS = np.array([sum(1 << b for b in c) for k in range(_BLOCK_RADIUS + 1) for c in combinations(range(16), k)], np.uint16)
 
 
 def item_shingles(words: np.ndarray, n: int = 3) -> np.ndarray:
@@ -81,30 +83,37 @@ class Benchmark:
         return np.where(self.vocab[k] == h, self.weight[k], self.default)
 
     def blocks(self, n: int) -> tuple:
-        """Sorted (block number, value) keys within the block radius of items of n words, and the items."""
+        """Fingerprints of the items of n words; for each block its distinct values, and where each one's items begin in a list."""
         if n not in self.index:
             ix = self.lengths[n]
             fp = np.array([simhash(self.shingles[i], self.weigh(self.shingles[i])) for i in ix], np.uint64)
-            keys, items = [], []
+            parts = []
             for b in range(4):
-                part = (fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-                keys.append(((part[:, None] ^ _FLIPS[None, :]) | np.uint64(b << 16)).ravel())
-                items.append(np.repeat(np.arange(len(ix)), len(_FLIPS)))
-            keys, items = np.concatenate(keys), np.concatenate(items)
-            order = np.argsort(keys, kind="stable")
-            self.index[n] = fp, keys[order], items[order]
+                part = (fp >> np.uint64(16 * b)).astype(np.uint16)
+                order = np.argsort(part, kind="stable").astype(np.int32)
+                values, first = np.unique(part[order], return_index=True)
+                parts.append((values, np.append(first, len(ix)), order))
+            self.index[n] = fp, parts
         return self.index[n]
 
     def candidates(self, fp: int, n: int) -> list[tuple[int, int]]:
         """(item, distance) of all items of n words within the radius."""
-        of, keys, items = self.blocks(n)
-        found = set()
-        for b in range(4):
-            key = np.uint64((fp >> (16 * b) & 0xFFFF) | b << 16)
-            lo, hi = np.searchsorted(keys, [key, key + np.uint64(1)])
-            found.update(items[lo:hi].tolist())
-        far = [(k, (int(of[k]) ^ fp).bit_count()) for k in sorted(found)]
-        return [(int(self.lengths[n][k]), d) for k, d in far if d <= RADIUS]
+        of, parts = self.blocks(n)
+        found = []
+        for b, (values, first, order) in enumerate(parts):
+            mine = np.uint16(fp >> (16 * b) & 0xFFFF)
+            if len(values) < len(_FLIPS):  # fewer values than flips: each is compared
+                at = np.flatnonzero(np.bitwise_count(values ^ mine) <= _BLOCK_RADIUS)
+            else:
+                near = _FLIPS ^ mine
+                at = np.minimum(np.searchsorted(values, near), len(values) - 1)
+                at = at[values[at] == near]
+            found += [order[first[k] : first[k + 1]] for k in at]
+        if not found:
+            return []
+        some = np.unique(np.concatenate(found))
+        far = np.bitwise_count(of[some] ^ np.uint64(fp))
+        return [(int(self.lengths[n][k]), int(d)) for k, d in zip(some, far) if d <= RADIUS]
 
     def similarity(self, i: int, window: np.ndarray, weights: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and the distinct shingles of a window."""
@@ -234,16 +243,21 @@ def _sieve(vocab: np.ndarray) -> np.ndarray:
 
 
 def matches(docs: DataFrame, bench: DataFrame, slice_items: int = SLICE) -> DataFrame:
-    """``(doc_id, item_id, first_word, distance, similarity)``: each item that a document holds.
+    """``(doc_id, item_id, first_word, distance, similarity)``: each item that a document holds; ids are whole numbers.
 
     The window is the most similar one, ties going to the nearer fingerprint and the earlier
     place. A text shorter than an item is one window. Null and token-free texts and items, and
     items of a null id, match nothing; documents of a null doc_id are reported under null. Rows
-    that repeat a doc_id are searched each; equal findings are given once. Empty tables give an
-    empty result.
+    that repeat a doc_id are searched each; equal findings are given once. Very long texts are
+    searched whole. Empty tables give an empty result; other columns are ignored.
     """
+    return _found(docs, bench, slice_items).drop("text_hash").distinct()
+
+
+def _found(docs: DataFrame, bench: DataFrame, slice_items: int = SLICE) -> DataFrame:
+    """The matches of each row, with the hash of its text."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, first_word long, distance long, similarity double"
+    schema = "doc_id long, text_hash long, item_id long, first_word long, distance long, similarity double"
     ids, words, shingles = _load(bench)
     out = spark.createDataFrame([], schema)
     for lo in range(0, len(ids), slice_items):
@@ -261,8 +275,8 @@ def matches(docs: DataFrame, bench: DataFrame, slice_items: int = SLICE) -> Data
             maybe, least = _sieve(b.vocab), min(b.least.values())
             longest = max(b.words)
             for batch in batches:
-                cols: list[list] = [[], [], []]
-                for t in textvec.chunks(batch.column(1)):
+                cols: list[list] = [[], [], [], []]
+                for t in textvec.chunks(batch.column(2)):
                     hopeful = np.zeros(t.rows, bool)
                     for k in sizes:
                         h, offs = textvec.shingles(t, k)
@@ -281,43 +295,53 @@ def matches(docs: DataFrame, bench: DataFrame, slice_items: int = SLICE) -> Data
                         text = t.hash[t.row[r] : t.row[r + 1]]
                         others = b.others(text)
                         if others is not None:
-                            for c, x in zip(cols, (batch.column(0)[t.lo + int(r)].as_py(), text.view(np.int64), others.view(np.int64))):
+                            own = (batch.column(k)[t.lo + int(r)].as_py() for k in range(2))
+                            for c, x in zip(cols, (*own, text.view(np.int64), others.view(np.int64))):
                                 c.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], names=["doc_id", "words", "others"]
+                    [*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[2:])],
+                    names=["doc_id", "text_hash", "words", "others"],
                 )
 
         def run(batches, shared=shared, count=count):
             b = shared.value
             for batch in batches:
-                cols: list[list] = [[], [], [], [], []]
-                for doc, text, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                cols: list[list] = [[], [], [], [], [], []]
+                for doc, row, text, known in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), batch.column(3).to_pylist()):
                     h = np.array([x["h"] for x in known or ()], np.int64).view(np.uint64)
                     n = np.array([x["n"] for x in known or ()], np.int64)
                     order = np.argsort(h)
                     weight = np.log((1 + count) / (1 + n[order])) + 1e-3
                     for found in b.search(text.values.to_numpy().view(np.uint64), h[order], weight):
-                        for c, x in zip(cols, (doc, *found)):
+                        for c, x in zip(cols, (doc, row, *found)):
                             c.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.float64()])],
-                    names=["doc_id", "item_id", "first_word", "distance", "similarity"],
+                    [pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.float64()])],
+                    names=["doc_id", "text_hash", "item_id", "first_word", "distance", "similarity"],
                 )
 
         rows = staged(
-            docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hopeful_rows, "doc_id long, words array<long>, others array<long>")
+            docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+            .mapInArrow(hopeful_rows, "doc_id long, text_hash long, words array<long>, others array<long>")
             .withColumn("row", F.monotonically_increasing_id()),
             "windows",
         )
         asked = rows.select("row", F.explode("others").alias("h"))
         counts = _other_counts(docs, asked.select("h").distinct(), sizes)
         known = asked.join(counts, "h").groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("known"))
-        out = out.union(rows.join(known, "row", "left").select("doc_id", "words", "known").mapInArrow(run, schema))
-    return out.distinct()
+        out = out.union(rows.join(known, "row", "left").select("doc_id", "text_hash", "words", "known").mapInArrow(run, schema))
+    return out
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark item; null ids are kept."""
-    mark = fresh(docs, "_bad")
-    bad = staged(matches(docs, bench).filter("doc_id is not null").select(F.col("doc_id").alias(mark)).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"] == F.col(mark), "left_anti")
+    """The rows of ``docs``, all columns of any name, whose text holds no benchmark item.
+
+    Each row goes by its own finding: a row of a null doc_id that holds an item goes, a clean one
+    stays even if its doc_id repeats that of another that goes. Rows that repeat both go or stay
+    together. Null and empty texts stay; an empty table stays empty, and without items all stay.
+    """
+    mark, key = fresh(docs, "_bad"), fresh(docs, "_key")
+    row = lambda text_hash: F.xxhash64(F.col("doc_id").cast("long"), text_hash)
+    bad = staged(_found(docs, bench).select(F.col("doc_id").alias(mark), row(F.col("text_hash")).alias(key)).distinct(), "leaks")
+    same = (row(F.xxhash64(docs["text"])) == F.col(key)) & docs["doc_id"].cast("long").eqNullSafe(F.col(mark))
+    return docs.join(bad, same, "left_anti")
