@@ -33,13 +33,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: lineage ends at replicated files."""
+def staged(df: DataFrame, name: str, into: list[DataFrame] | None = None) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: lineage ends at replicated files.
+
+    The table is added to ``into``, the tables that the caller will ``unstage``.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._onomast_path = path
+    if into is not None:
+        into.append(out)
     return out
 
 

@@ -1,6 +1,8 @@
 """Line dedup, near-dedup, decontamination and packing."""
 
 import random
+import time
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,45 @@ def test_patience_is_a_common_subsequence():
         assert all(p[1] < q[1] for p, q in zip(got, got[1:]))
 
 
+def patience_by_definition(a, b):
+    """Equal ends, then a longest rising choice of lines unique on both sides, then each gap; the number of lines aligned at this level comes from trying all choices."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    m = 0
+    while m < min(len(a), len(b)) - n and a[-1 - m] == b[-1 - m]:
+        m += 1
+    x, y = a[n : len(a) - m], b[n : len(b) - m]
+    once = [(i, y.index(v)) for i, v in enumerate(x) if x.count(v) == 1 == y.count(v)]
+    best = []
+    for size in range(len(once), 0, -1):
+        best = [c for c in combinations(once, size) if all(p[1] < q[1] for p, q in zip(c, c[1:]))]
+        if best:
+            break
+    if not best:
+        return {tuple((i, i) for i in range(n)) + tuple((len(a) - m + k, len(b) - m + k) for k in range(m))}
+    out = set()
+    for chosen in best:
+        ways = [()]
+        for (i, j), (p, q) in zip([(-1, -1), *chosen], [*chosen, (len(x), len(y))]):
+            gaps = patience_by_definition(x[i + 1 : p], y[j + 1 : q])
+            ways = [w + tuple((i + 1 + u + n, j + 1 + v + n) for u, v in g) for w in ways for g in gaps]
+        for w in ways:
+            out.add(tuple(sorted({(i, i) for i in range(n)} | {(i + n, j + n) for i, j in chosen} | set(w) | {(len(a) - m + k, len(b) - m + k) for k in range(m)})))
+    return out
+
+
+def test_patience_is_one_of_the_alignments_by_definition():
+    r = random.Random(12)
+    some = 0
+    for _ in range(400):
+        a, b = ([r.randrange(1, 10) for _ in range(r.randrange(10))] for _ in range(2))
+        want = patience_by_definition(a, b)
+        assert tuple(linededup.patience(a, b)) in want
+        some += any(want)
+    assert some > 200
+
+
 def test_blank_lines_do_not_end_a_block():
     a = [1, 2, 3, 4]
     b = [9, 1, None, 2, None, None, 3, 8, 4]
@@ -62,10 +103,10 @@ def lines_by_hand(rows):
         full = [k for k, x in enumerate(ls) if x]
         for at, k in enumerate(full):
             n, key = ws[k], [ls[k]]
-            while n < linededup.RARE_WORDS and (at := at + 1) < len(full):
+            while n < linededup.RUN_WORDS and (at := at + 1) < len(full):
                 n += ws[full[at]]
                 key.append(ls[full[at]])
-            if n >= linededup.RARE_WORDS:
+            if n >= linededup.RUN_WORDS:
                 runs.add(tuple(key))
         gone = set()
         for other in {first[x] for x in runs if x in first}:
@@ -104,8 +145,10 @@ def lines_against_all_earlier(rows):
     return out
 
 
-def test_line_dedup_against_all_earlier_documents(spark):
-    """Passages that cross, that one text repeats or that end in short lines."""
+@pytest.mark.parametrize("holders", [2, 64])
+def test_line_dedup_against_all_earlier_documents(spark, monkeypatch, holders):
+    """Passages that cross, that one text repeats or that end in short lines; frequent and rare."""
+    monkeypatch.setattr(linededup, "RARE_HOLDERS", holders)
     parts = [prose(900 + k, 24) for k in range(4)] + [prose(910, 12) + "\nshort\nend", prose(910, 12) + "\nshort\nlast", "a b\n" + prose(911, 12)]
     r = random.Random(5)
     rows = [(0, parts[0] + "\n" + prose(0, 36) + "\n" + parts[1]), (1, prose(1, 36) + "\n" + parts[1]), (2, parts[0] + "\n" + prose(2, 36))]
@@ -130,6 +173,15 @@ def test_line_dedup_edges(spark):
     assert linededup.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    """A copy of 200,000 lines goes in seconds, and what is new in it stays."""
+    lines = [f"line {k} of a text that has very many lines that differ all" for k in range(200_000)]
+    df = docs(spark, [(1, "\n".join(lines)), (2, "\n".join([*lines[:150_000], "new", *lines[150_000:]]))])
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in linededup.line_dedup(df).collect()}
+    assert got == {1: "\n".join(lines), 2: "new"} and time.perf_counter() - began < 60
+
+
 # --- near-dedup
 
 
@@ -223,16 +275,14 @@ def hand_matches(docs_rows, item_rows):
     sets = {d: {int(x) for n in (1, 2, 3) for x in decontam.item_shingles(h, n)} for d, h in tok.items()}
     shing = {i: {int(x) for x in decontam.item_shingles(h)} for i, h in item.items()}
     n = len(docs_rows)
-    vocab = set().union(*shing.values())
-    weight = {v: np.log((1 + n) / (1 + sum(v in s for s in sets.values()))) + 1e-3 for v in vocab}
-    other = np.log(1 + n) + 1e-3
+    weight = {v: np.log((1 + n) / (1 + sum(v in s for s in sets.values()))) + 1e-3 for v in set().union(*sets.values(), *shing.values())}
     out = {}
     for d, h in tok.items():
         for i, g in item.items():
             size = min(len(g), len(h))
             for lo in range(len(h) - size + 1 if size else 0):
                 w = {int(x) for x in decontam.item_shingles(h[lo : lo + size])}
-                sim = sum(weight[x] for x in w & shing[i]) / sum(weight.get(x, other) for x in w | shing[i])
+                sim = sum(weight[x] for x in w & shing[i]) / sum(weight[x] for x in w | shing[i])
                 if sim >= decontam.SIMILARITY:
                     out[d, i] = max(out.get((d, i), 0), sim)
     return out
@@ -300,7 +350,30 @@ def test_matches_edges(spark):
     got = decontam.matches(docs(spark, rows, extra=True), items(spark, [(1, t), (1, t), (2, None), (None, t), (3, "")]))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in got.collect()) == [(-1, 1), (4, 1), (5, 1)]
     assert decontam.matches(docs(spark, []), items(spark, [(1, t)])).count() == 0 == decontam.matches(docs(spark, rows), items(spark, [])).count()
-    assert decontam.decontaminate(docs(spark, rows), items(spark, [(1, t)])).count() == 4
+    clean = decontam.decontaminate(docs(spark, rows, extra=True), items(spark, [(1, t)]))
+    assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 3] and clean.columns[-6:] == ["key", "a", "_id", "gone", "group_id", "rank"]
+    assert decontam.decontaminate(docs(spark, rows), items(spark, [])).count() == 7
+
+
+def test_each_row_goes_by_its_own_finding(spark):
+    leak, clean = "before it " + prose(3, 30), prose(8, 40)
+    rows = [(1, leak), (1, clean), (2, clean), (None, leak), (None, clean), (None, None), (3, leak), (3, leak)]
+    got = decontam.decontaminate(docs(spark, rows), items(spark, [(1, prose(3, 30))])).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, clean), (2, clean), (0, clean), (0, "")])
+
+
+def test_index_of_many_items_of_one_length_is_small():
+    """20,000 items of 40 words take an index of some MB, and a lookup finds what comparing all finds."""
+    r = np.random.default_rng(5)
+    vocab = np.unique(r.integers(0, 2**63, 30_000, dtype=np.uint64))
+    hashes = [np.unique(r.choice(vocab, 38)) for _ in range(20_000)]
+    b = decontam.Benchmark(list(range(20_000)), [40] * 20_000, hashes, vocab, np.ones(len(vocab)), 1.0)
+    fp, parts = b.blocks(40)
+    assert fp.nbytes + sum(x.nbytes for p in parts for x in p) < 4 << 20
+    for _ in range(40):
+        q = int(fp[r.integers(0, 20_000)]) ^ sum(1 << int(k) for k in r.choice(64, 17, replace=False))
+        far = np.bitwise_count(fp ^ np.uint64(q))
+        assert dict(b.candidates(q, 40)) == {int(k): int(far[k]) for k in np.flatnonzero(far <= decontam.RADIUS)}
 
 
 # --- packing
