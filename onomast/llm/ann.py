@@ -1,18 +1,23 @@
 """Nearest neighbours of every vector by a permutation index.
 
-``PIVOTS`` vectors, those of the least hashed id, are pivots. A vector is represented by its
-``PREFIX`` nearest pivots in order, and is posted in the inverted files of its first ``LISTS``.
-Every vector is a query: within each inverted file it shares, candidates are ranked by the
-footrule distance of the two orders (a missing pivot counts as one place after the last), the
-best ``SHARE`` of them are reranked by Euclidean distance, and the k nearest over all files are
-kept. Nothing else bounds the candidates.
-
-Footrule ranks come from one matrix product per block: with weights w = PREFIX - place, the
-distance is a constant less twice the sum of min(w, w'), and that sum is the product of unary
-codes. An inverted file is cut into blocks of about ``BLOCK`` rows and block pairs are spread over
-tasks, so no file must fit one executor. Work grows with N * N * LISTS ** 2 / PIVOTS: more pivots
-suit clustered vectors; for vectors spread evenly over a sphere in many dimensions, neighbours
-are hardly nearer than the rest, and recall of 0.9 takes files that overlap this much.
+Some vectors, those of the least hashed id, are pivots: ``ROOT`` times the square root of the number
+of vectors. A vector is represented by its nearest pivots in order and is posted in the inverted
+files of each of them: ``LISTS`` pivots at 50,000 vectors, growing with their eighth root. Every vector
+is a query: within each inverted file it shares, candidates are ranked by the footrule distance of
+the two orders (a missing pivot counts as one place after the last), the best ``SHARE`` of them are
+reranked by Euclidean distance, and the k nearest over all files are kept. Nothing else bounds the
+candidates.
+
+With weights w = lists - place, the footrule distance is a constant less twice the sum of
+min(w, w') over the pivots of both, which is gathered for all pairs of a file at once from one byte a
+pivot. An inverted file is cut into blocks of about ``BLOCK`` rows and block pairs are spread over
+tasks, so no file must fit one executor; files are about LISTS / ROOT times the square root of the rows, so
+that is rare.
+
+Work is N * N * lists ** 2 / pivots pairs, N ** 1.75, and each vector is shuffled ``lists`` times. Vectors
+spread evenly over a sphere in many dimensions allow no much better: their neighbours are hardly
+nearer than the rest, so orders of pivots say little (figures in the README). Clustered vectors do
+with fewer lists.
 """
 
 from __future__ import annotations
@@ -24,18 +29,24 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-PIVOTS = 64
-PREFIX = 8
-LISTS = 8
+ROOT = 4.5
+LISTS = 20
 SHARE = 0.9
 BLOCK = 8192
 NEIGHBOURS = 10
 
 
+def sizes(count: int) -> tuple[int, int]:
+    """Numbers of pivots and of lists for so many vectors."""
+    pivots = min(count, max(16, round(ROOT * count**0.5)))
+    return pivots, min(pivots, 255, max(4, round(LISTS * (count / 50_000) ** 0.125)))
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) with an id and a full, finite vector of the most common length; one row an id."""
+    # x - x is 0 for finite numbers alone
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).filter(
-        "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < 1e30)"
+        "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and x - x = 0)"
     )
     length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
     return (
@@ -44,47 +55,77 @@ def valid(vectors: DataFrame) -> DataFrame:
     )
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """The nearest pivots of each row in order; equal distances go to the lower number."""
-    d = (pivots**2).sum(1)[None, :] - 2 * (x @ pivots.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :prefix].astype(np.int16)
-
-
-def codes(order: np.ndarray, pivots: int) -> np.ndarray:
-    """Unary codes whose inner products are sums of min(w, w') over pivots."""
-    n, m = order.shape
-    out = np.zeros((n, pivots, m), np.float32)
-    for place in range(m):
-        out[np.arange(n), order[:, place], : m - place] = 1
-    return out.reshape(n, -1)
+def wide(x: np.ndarray) -> np.ndarray:
+    """The vectors in a type that their squares fit."""
+    return x.astype(np.float64) if len(x) and np.abs(x).max() > 1e15 else x
 
 
-def _nearest(ids, x, order, other_ids, other_x, other_order, pivots, k, share):
-    """(query id, neighbour id, distance) of the local k nearest after ranking by footrule."""
+def orders(x: np.ndarray, pivots: np.ndarray, lists: int) -> np.ndarray:
+    """The nearest pivots of each row in order; equal distances go to the lower number."""
+    if x.dtype != pivots.dtype:
+        x, pivots = x.astype(np.float64), pivots.astype(np.float64)
+    out = np.empty((len(x), lists), np.int32)
+    square = (pivots**2).sum(1)[None, :]
+    step = max(1, 4_000_000 // len(pivots))
+    for lo in range(0, len(x), step):
+        d = square - 2 * (x[lo : lo + step] @ pivots.T)
+        near = np.argpartition(d, lists - 1, axis=1)[:, :lists]
+        last = np.take_along_axis(d, near, 1).max(1)
+        tied = (d <= last[:, None]).sum(1) > lists  # more pivots at the last distance than places
+        near.sort(axis=1)
+        got = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+        got[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :lists]
+        out[lo : lo + step] = got
+    return out
+
+
+def footrule(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For all pairs of orders the sum of min(w, w'): the footrule distance is lists * (lists + 1) less twice that."""
+    lists = mine.shape[1]
+    names, at = np.unique(mine, return_inverse=True)
+    at = at.reshape(mine.shape)
+    weight = np.zeros((len(names), len(other)), np.uint8)  # by pivot of ours and row of theirs
+    k = np.minimum(np.searchsorted(names, other), len(names) - 1)
+    hit = names[k] == other
+    row, place = np.nonzero(hit)
+    weight[k[hit], row] = lists - place
+    total = np.zeros((len(mine), len(other)), np.uint16)
+    for p in range(lists):
+        total += np.minimum(weight[at[:, p]], np.uint8(lists - p))
+    return total
+
+
+def _nearest(ids, x, order, other_ids, other_x, other_order, k, share):
+    """(query id, neighbour id, distance) of the local k nearest after ranking by footrule; ties go to the lesser id."""
     out = []
-    there = codes(other_order, pivots)
-    square = (other_x**2).sum(1)
+    square, own = (other_x**2).sum(1), (x**2).sum(1)
     keep = max(min(len(other_ids), k + 1), int(np.ceil(share * len(other_ids))))
-    rows = max(1, 4_000_000 // len(other_ids))
+    slack = 1e-5 * (square.max() + own) if x.dtype == np.float32 else 1e-12 * (square.max() + own)
+    rows = max(1, min(256, 2_000_000 // len(other_ids)))
     for lo in range(0, len(ids), rows):
-        near = codes(order[lo : lo + rows], pivots) @ there.T
-        d = square[None, :] - 2 * (x[lo : lo + rows] @ other_x.T)
-        d[ids[lo : lo + rows, None] == other_ids[None, :]] = np.inf
+        part = slice(lo, lo + rows)
+        near = footrule(order[part], other_order)
+        d = square[None, :] - 2 * (x[part] @ other_x.T)
+        d[ids[part, None] == other_ids[None, :]] = np.inf
         if keep < len(other_ids):
             cut = np.partition(near, len(other_ids) - keep, axis=1)[:, len(other_ids) - keep]
             d[near < cut[:, None]] = np.inf  # ties with the last kept one are kept
-        kk = min(k + 4, d.shape[1])
-        at = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-        ok = np.isfinite(np.take_along_axis(d, at, 1))
-        q, c = np.nonzero(ok)
-        pick = at[q, c]
-        gap = x[lo + q].astype(np.float64) - other_x[pick].astype(np.float64)
-        out.append((ids[lo + q], other_ids[pick], np.sqrt((gap * gap).sum(1))))
+        kk = min(k, d.shape[1])
+        last = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        # all that rounding may have put behind the k-th, and all ties with it
+        q, c = np.nonzero((d <= (last + slack[part])[:, None]) & np.isfinite(d))
+        gap = x[lo + q].astype(np.float64) - other_x[c].astype(np.float64)
+        far = np.sqrt((gap * gap).sum(1))
+        best = np.lexsort((other_ids[c], far, q))
+        q, c, far = q[best], c[best], far[best]
+        first = np.searchsorted(q, np.arange(len(ids[part])))
+        some = np.arange(len(q)) - first[q] < k
+        out.append((ids[lo + q[some]], other_ids[c[some]], far[some]))
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, lists: int = LISTS, share: float = SHARE) -> DataFrame:
-    """``(vec_id, rank, neighbour_id, distance)``: the k nearest others of each vector found.
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int | None = None, lists: int | None = None, share: float = SHARE) -> DataFrame:
+    """``(vec_id, rank, neighbour_id, distance)``: the k nearest others of each vector found; vec_id is a whole number.
 
     Ties go to the lesser id. Rows without an id or with a null, empty or not finite vector, or
     one of a length other than the most common, take no part; rows that repeat an id count once,
@@ -94,11 +135,20 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, li
     spark = vectors.sparkSession
     base = staged(valid(vectors), "vectors")
     schema = "vec_id long, rank int, neighbour_id long, distance double"
-    first = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toArrow()
-    if first.num_rows < 2:
+    count = base.count()
+    if count < 2:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(np.array(first["embedding"].to_pylist(), np.float32))
-    count, found, per = base.count(), first.num_rows, min(lists, first.num_rows)
+    found, per = sizes(count)
+    found = min(count, pivots or found)
+    per = min(found, 255, lists or per)
+    # some more ids than wanted pass the hash, so that only those are ranked, without their vectors
+    hashed = base.select("vec_id", F.xxhash64("vec_id").alias("h"))
+    likely = hashed.filter(F.shiftrightunsigned("h", 11) <= int(min(1.0, (2 * found + 50) / count) * 2**53))
+    picked = likely.orderBy("h", "vec_id").limit(found).select("vec_id")
+    first = base.join(picked, "vec_id", "left_semi").toArrow().sort_by("vec_id")
+    shared = spark.sparkContext.broadcast(wide(np.array(first["embedding"].to_pylist(), np.float32)))
+    found = first.num_rows
+    per = min(per, found)
     blocks = max(1, -(-count * per // (found * BLOCK)))
 
     def post(batches):
@@ -106,17 +156,17 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, li
             if not batch.num_rows:
                 continue
             x = batch.column(1).values.to_numpy().reshape(batch.num_rows, -1)
-            order = orders(x, shared.value)
+            order = orders(wide(x), shared.value, per)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(list(order), pa.list_(pa.int16())), pa.array(list(order[:, :per]), pa.list_(pa.int16()))],
-                names=["vec_id", "embedding", "ord", "files"],
+                [*batch.columns, pa.array(list(order), pa.list_(pa.int32()))],
+                names=["vec_id", "embedding", "ord"],
             )
 
-    posted = base.mapInArrow(post, "vec_id long, embedding array<float>, ord array<short>, files array<short>").withColumn(
+    posted = base.mapInArrow(post, "vec_id long, embedding array<float>, ord array<int>").withColumn(
         "block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
     )
     pairs = posted.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
-        "vec_id", "embedding", "ord", "block", F.explode("files").alias("file"),
+        "vec_id", "embedding", "ord", "block", F.explode("ord").alias("file"),
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
     )
 
@@ -124,13 +174,13 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, li
         if isinstance(table["embedding"], pa.ChunkedArray):
             table = table.combine_chunks()
         ids, block = table["vec_id"].to_numpy(), table["block"].to_numpy()
-        x = table["embedding"].combine_chunks().values.to_numpy().reshape(len(ids), -1)
+        x = wide(table["embedding"].combine_chunks().values.to_numpy().reshape(len(ids), -1))
         order = table["ord"].combine_chunks().values.to_numpy().reshape(len(ids), -1)
         here, there = block == block.min(), block == block.max()
         pairs = [(here, there)] if block.min() == table["j"][0].as_py() else [(here, there), (there, here)]
         if table["i"][0].as_py() != table["j"][0].as_py() and block.min() == block.max():
             pairs = []  # the other block has no row in this file
-        cols = [_nearest(ids[a], x[a], order[a], ids[b], x[b], order[b], found, k, share) for a, b in pairs]
+        cols = [_nearest(ids[a], x[a], order[a], ids[b], x[b], order[b], k, share) for a, b in pairs]
         q, n, d = (np.concatenate(c) for c in zip(*cols)) if cols else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"vec_id": q, "neighbour_id": n, "distance": d})
 

@@ -160,7 +160,7 @@ def vectors(spark, x, ids=None):
 def test_footrule_by_products():
     r = np.random.default_rng(1)
     order = np.array([r.permutation(10)[:4] for _ in range(12)], np.int16)
-    near = ann.codes(order, 10) @ ann.codes(order, 10).T
+    near = ann.footrule(order, order).astype(int)
     place = np.full((12, 10), 4)
     place[np.arange(12)[:, None], order] = np.arange(4)
     foot = np.abs(place[:, None] - place[None]).sum(-1)
@@ -199,6 +199,33 @@ def test_neighbour_edges(spark):
     assert ann.neighbours(df.limit(0)).count() == 0 == ann.neighbours(df.filter("vec_id = 1")).count()
 
 
+def test_huge_and_infinite_vectors(spark):
+    x = [[1e31, 0.0], [2e31, 0.0], [4e31, 0.0], [0.0, 1e31], [-1e38, 1e38]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(9, [float("inf"), 0.0]), (10, [float("-inf"), 0.0])], "vec_id long, embedding array<float>")
+    got = {(r.vec_id, r.rank): (r.neighbour_id, r.distance) for r in ann.neighbours(df, 2).collect()}
+    assert len(got) == 10 and got[0, 1] == (1, pytest.approx(1e31, rel=1e-6)) and got[2, 1][0] == 1 and got[0, 2] == (3, pytest.approx(2**0.5 * 1e31, rel=1e-6))
+
+
+def test_ties_go_to_the_lesser_ids():
+    r = np.random.default_rng(8)
+    ids = r.permutation(60)
+    x = np.ones((60, 4), np.float32)
+    order = np.zeros((60, 3), np.int32) + np.arange(3, dtype=np.int32)
+    q, n, d = ann._nearest(ids, x, order, ids, x, order, 10, 0.5)
+    for i in range(60):
+        assert n[q == i].tolist() == [k for k in range(11) if k != i][:10]
+    assert not d.any()
+
+
+def test_fewer_pairs_than_all():
+    """The pairs met grow slower than all pairs."""
+    met = []
+    for n in (2000, 50_000, 10**6, 10**9):
+        pivots, lists = ann.sizes(n)
+        met.append(lists**2 / pivots)
+    assert all(b < 0.62 * a for a, b in zip(met, met[1:])) and met[1] < 0.42
+
+
 # --- HTML
 
 
