@@ -196,13 +196,19 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """Fits the classifier on documents with a 0/1 ``toxic`` label.
 
     Rows with a null doc_id, label or text don't take part; of repeated labels of one document
-    the greatest counts. Without any labelled text nothing is found toxic.
+    the greatest counts, of repeated rows of one doc_id the least text, so the sample never has more
+    than ``max_labelled`` texts. Very long texts count whole, empty ones as texts without features.
+    Without any labelled text, as in an empty table, nothing is found toxic. Other columns of
+    either table, of whatever names, are ignored; doc_id is a whole number.
     """
     picked = (
         labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    sample = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
+    sample = (
+        docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    )
     got = sample.mapInArrow(_features, "doc_id long, toxic int, codes binary, marks array<long>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     packed = got["codes"].take(pa.array(order)).combine_chunks() if got.num_rows else pa.array([], pa.binary())
@@ -216,7 +222,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, toxic)`` for each row of ``docs``; the score of a null text is null and it isn't toxic."""
+    """``(doc_id, score, toxic)`` for each row of ``docs``, repeated ones and null ids too.
+
+    The score of a null text is null and it isn't toxic. A text without known features, an empty
+    one too, scores the bias alone. Very long texts are scored whole. Equal texts score alike. An
+    empty table gives an empty result; other columns, of whatever names, are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -234,7 +245,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text isn't found toxic; null and empty texts stay."""
+    """The rows of ``docs``, all columns of any name, whose text isn't found toxic.
+
+    Null and empty texts and rows of a null doc_id with a clean text stay; rows that repeat go or
+    stay together. Very long texts are scored whole. An empty table stays empty; without labels
+    all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     place = docs.columns.index("text")
 
