@@ -8,7 +8,7 @@ contradicts that of an ancestor; the best assignment by log-likelihood, weighted
 ``SWITCH`` for each subtree that departs from its parent, is found exactly in one pass up and one
 down the tree.
 
-The trees are fitted on at most ``MAX_PAGES`` pages (those of the least hashed page_id). What
+The trees are fitted on at most ``MAX_PAGES`` pages (those of the least hash). What
 counts as content there is told by the author's own markup: text in ``article`` or ``main``,
 outside ``nav``, ``aside``, ``header`` and ``footer``. For the features all of these are plain
 divisions, so what is learned holds for pages without them. Extraction is one pass without a shuffle.
@@ -17,6 +17,8 @@ divisions, so what is learned holds for pages without them. Extraction is one pa
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -39,7 +41,8 @@ _BLOCK = frozenset(
 _CONTENT, _OTHER = frozenset(["article", "main"]), frozenset(["nav", "aside", "header", "footer"])
 _KINDS = {t: k for k, t in enumerate(["p", "div", "li", "ul", "a", "h1", "h2", "h3", "td", "tr", "table", "span", "b", "pre", "blockquote", "section", "form", "img"], 1)}
 _KINDS |= {t: _KINDS["div"] for t in ("article", "main", "nav", "aside", "header", "footer", "section", "body")}
-_HASHED = 8
+_HASHED = 32
+_ITEMS = frozenset("li td th tr dt dd option".split())
 _PUNCT = re.compile(r"[.,;:!?]")
 
 
@@ -64,9 +67,13 @@ def parse(html: str) -> Dom:
     at = order = 0
     size = len(html)
 
+    open_tags: Counter = Counter()  # a tag that isn't open is never looked for, so each step down the stack closes an element
+
     def close(upto: int) -> None:
         while len(stack) > upto:
-            end[stack.pop()] = len(tag)
+            k = stack.pop()
+            end[k] = len(tag)
+            open_tags[tag[k]] -= 1
 
     while at < size:
         m = _TAG.search(html, at)
@@ -85,7 +92,7 @@ def parse(html: str) -> Dom:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(0) if not open_tags[name] else range(len(stack) - 1, 0, -1):
                 if tag[stack[k]] == name:
                     close(k)
                     break
@@ -94,10 +101,10 @@ def parse(html: str) -> Dom:
             stop = re.compile(f"</{name}", re.I).search(html, at)
             at = stop.start() if stop else size
             continue
-        if name in _BLOCK:  # a block ends an open paragraph; an item ends its earlier sibling
+        if name in _BLOCK and (open_tags["p"] or (name in _ITEMS and open_tags[name])):  # a block ends an open paragraph; an item ends its earlier sibling
             for k in range(len(stack) - 1, 0, -1):
                 t = tag[stack[k]]
-                if t == "p" or (t == name and name in ("li", "td", "th", "tr", "dt", "dd", "option")):
+                if t == "p" or (t == name and name in _ITEMS):
                     close(k)
                     break
                 if t in _BLOCK:
@@ -112,6 +119,7 @@ def parse(html: str) -> Dom:
         end.append(len(tag))
         if name not in _VOID and not m[3].endswith("/"):
             stack.append(len(tag) - 1)
+            open_tags[name] += 1
     close(0)
     end[0] = len(tag)
     return Dom(tag, parent, end, depth, attrs, text, marked, size)
@@ -159,7 +167,7 @@ def features(dom: Dom) -> tuple[np.ndarray, np.ndarray]:
         if a:
             for v in _ATTR.findall(a):
                 for t in _TOKEN.findall(v):
-                    hashed[i, sum(map(ord, t.lower())) % _HASHED] += 1
+                    hashed[i, zlib.crc32(t.lower().encode()) % _HASHED] += 1
     cols = [
         kind, dom.depth, np.log1p(own), np.log1p(text), np.log1p(tags), np.log1p(density), under / np.maximum(text, 1), np.log1p(links),
         np.log1p(word), text / np.maximum(word, 1), mark / np.maximum(word, 1), kids, order, kids[up], order / np.maximum(kids[up], 1), alike,
@@ -193,6 +201,7 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Trees:
     d = x.shape[1]
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(d)]
     binned = np.column_stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)]).astype(np.int64) if len(x) else np.zeros((0, d), np.int64)
+    wide = [j for j in range(d) if len(cuts[j])]
     rate = (w @ y) / w.sum() if w.sum() else 0.5
     base = float(np.log(np.clip(rate, 1e-3, 1 - 1e-3) / (1 - np.clip(rate, 1e-3, 1 - 1e-3))))
     margin = np.full(len(x), base)
@@ -205,19 +214,18 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Trees:
         for level in range(DEPTH):
             lo, many = 2**level - 1, 2**level
             best = np.zeros(many)
-            for j in range(d):
+            for j in wide:
                 key = (at - lo) * BINS + binned[:, j]
                 G = np.bincount(key, g, many * BINS).reshape(many, BINS).cumsum(1)
                 H = np.bincount(key, h, many * BINS).reshape(many, BINS).cumsum(1)
                 gain = G**2 / (H + 1) + (G[:, -1:] - G) ** 2 / (H[:, -1:] - H + 1) - G[:, -1:] ** 2 / (H[:, -1:] + 1)
                 gain = gain[:, : len(cuts[j])]
-                if gain.shape[1]:
-                    k = gain.argmax(1)
-                    top = gain[np.arange(many), k]
-                    new = top > best + 1e-9
-                    best[new] = top[new]
-                    f[lo : lo + many][new] = j
-                    t[lo : lo + many][new] = cuts[j][k[new]]
+                k = gain.argmax(1)
+                top = gain[np.arange(many), k]
+                new = top > best + 1e-9
+                best[new] = top[new]
+                f[lo : lo + many][new] = j
+                t[lo : lo + many][new] = cuts[j][k[new]]
             at = 2 * at + 1 + (x[np.arange(len(x)), f[at]] > t[at])
         leaf = at - (2**DEPTH - 1)
         v = RATE * np.bincount(leaf, g, 2**DEPTH) / (np.bincount(leaf, h, 2**DEPTH) + 1)
@@ -257,11 +265,11 @@ def decode(dom: Dom, margin: np.ndarray, own: np.ndarray) -> np.ndarray:
 def assemble(dom: Dom, chosen: np.ndarray) -> str:
     """The chosen text in document order, a line for each block."""
     parts = []
+    block = [0]
+    for i in range(1, len(dom.tag)):
+        block.append(i if dom.tag[i] in _BLOCK else block[dom.parent[i]])
     for i in np.flatnonzero(chosen):
-        k = i
-        while k and dom.tag[k] not in _BLOCK:
-            k = dom.parent[k]
-        parts += [(order, k, t) for order, t in dom.text[i]]
+        parts += [(order, block[i], t) for order, t in dom.text[i]]
     parts.sort()
     lines: list[list[str]] = []
     last = None
@@ -274,24 +282,30 @@ def assemble(dom: Dom, chosen: np.ndarray) -> str:
 
 
 def train(pages: DataFrame, most: int = MAX_PAGES) -> Trees:
-    """Fits the trees on pages that have content markup. Without any such page all text is content."""
-    picked = (
-        pages.filter("page_id is not null and html is not null and (html ilike '%<article%' or html ilike '%<main%')")
-        .select(F.col("page_id").cast("long"), "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(most)
-    )
+    """Fits the trees on pages that have content markup. Without any such page all text is content.
+
+    Pages of a null id or html take no part. The ``most`` pages of the least hash of id and html
+    are taken: about twice as many pass a bound on the hash in the scan, so neither pages nor
+    candidates are gathered in a task.
+    """
+    marked = pages.filter("page_id is not null and html is not null and (html ilike '%<article%' or html ilike '%<main%')")
+    count = marked.count()
+    h = F.shiftrightunsigned(F.xxhash64(F.col("page_id").cast("long"), "html"), 11)
+    bound = int(min(1.0, (2 * most + 50) / max(1, count)) * 2**53)
+    picked = marked.filter(h <= bound).select(h.alias("h"), "html")
 
     def run(batches):
         for batch in batches:
-            for html in batch.column(1).to_pylist():
+            for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 dom = parse(html)
                 x, own = features(dom)
                 some = own > 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[some].astype(np.float32).tobytes()], pa.binary()), pa.array([np.array(dom.marked, np.int8)[some].tobytes()], pa.binary()), pa.array([own[some].astype(np.float32).tobytes()], pa.binary())],
-                    names=["x", "y", "own"],
+                    [pa.array([h], pa.int64()), pa.array([x[some].astype(np.float32).tobytes()], pa.binary()), pa.array([np.array(dom.marked, np.int8)[some].tobytes()], pa.binary()), pa.array([own[some].astype(np.float32).tobytes()], pa.binary())],
+                    names=["h", "x", "y", "own"],
                 )
 
-    got = picked.mapInArrow(run, "x binary, y binary, own binary").toArrow()
+    got = picked.mapInArrow(run, "h long, x binary, y binary, own binary").toArrow().sort_by("h").slice(0, most)
     x, y, own = (b"".join(got[c].to_pylist()) for c in ("x", "y", "own"))
     y = np.frombuffer(y, np.int8).astype(np.float64)
     if not len(y):
@@ -300,10 +314,12 @@ def train(pages: DataFrame, most: int = MAX_PAGES) -> Trees:
 
 
 def extract(pages: DataFrame, trees: Trees) -> DataFrame:
-    """``(page_id, url, text, nodes, content_nodes)`` for each row.
+    """``(page_id, url, text, nodes, content_nodes)`` for each row, repeated ones and null ids and urls too.
 
-    Text is null for a null html and empty where nothing is content. Markup that doesn't close and
-    text without markup are taken as they are; other columns are ignored.
+    Text is null for a null html and empty where nothing is content, as for an empty html. Markup
+    that doesn't close and text without markup are taken as they are. Very long pages are parsed
+    whole, in time that grows with their size. Equal pages have equal texts. An empty table gives an
+    empty result; other columns, of whatever names, are ignored; page_id is a whole number.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trees)
 
