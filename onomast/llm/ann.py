@@ -142,8 +142,8 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int | None = Non
     found = min(count, pivots or found)
     per = min(found, 255, lists or per)
     # some more ids than wanted pass the hash, so that only those are ranked, without their vectors
-    hashed = base.select("vec_id", F.xxhash64("vec_id").alias("h"))
-    likely = hashed.filter(F.shiftrightunsigned("h", 11) <= int(min(1.0, (2 * found + 50) / count) * 2**53))
+    hashed = base.select("vec_id", F.shiftrightunsigned(F.xxhash64("vec_id"), 11).alias("h"))
+    likely = hashed.filter(F.col("h") <= int(min(1.0, (2 * found + 50) / count) * 2**53))
     picked = likely.orderBy("h", "vec_id").limit(found).select("vec_id")
     first = base.join(picked, "vec_id", "left_semi").toArrow().sort_by("vec_id")
     shared = spark.sparkContext.broadcast(wide(np.array(first["embedding"].to_pylist(), np.float32)))

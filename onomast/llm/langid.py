@@ -110,7 +110,12 @@ def _vote(names: tuple[str, ...], margin: dict, rows: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, families: dict[str, str] = FAMILIES, most: int = MAX_LABELLED) -> Model:
-    """Fits all machines on documents of a known ``lang``; a language of no listed family is its own."""
+    """Fits all machines on documents of a known ``lang``; a language of no listed family is its own.
+
+    Null and blank texts, null languages and other columns take no part; of rows that repeat both
+    doc_id and text, any may be in the sample, which has at most ``most`` rows. An empty table
+    gives a model that finds no language.
+    """
     sample = (
         docs.filter("lang is not null and text is not null and text rlike '[^\\\\s]'")
         .select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text")
@@ -154,7 +159,13 @@ def train(docs: DataFrame, families: dict[str, str] = FAMILIES, most: int = MAX_
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, family, predicted)`` for each row; both null for null texts and texts without a letter or digit."""
+    """``(doc_id, family, predicted)`` for each row, repeated ones and null ids too.
+
+    Both are null for null and empty texts and those without a letter or digit, and where the model
+    knows no language. Very long texts count whole. Ties go to the name that sorts first. An empty
+    table gives an empty result; other columns, of whatever names, are ignored; doc_id is a whole
+    number.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
