@@ -16,15 +16,24 @@ Spark keeps the reader that predicates were pushed into with the DataFrame, and
 the same DataFrame that has no predicate would find it. So pushing is an option, ``pushdown``,
 which ``scan`` sets: it reads anew and always has its condition.
 
-A record with no valid version line or length ends its file: the option ``mode`` is ``permissive``
-(stop there, the default) or ``failfast``. A header field that is missing is null; a field that
-repeats keeps its last value; an empty file or folder has no records.
+A file is read up to its first damage: a record with no valid version line or length, one that
+ends before its length, bytes that no gzip decoder takes, after the last member or within one. The
+option ``mode`` is ``permissive`` (the records before are given, the default) or ``failfast`` (an error
+names the place). Zero bytes after the last member are padding. A header field that is missing is
+null; a field that repeats keeps its last value; an HTTP status of other than at most nine ASCII
+digits is null; an empty file or folder has no records. Very long records are read whole, one at a
+time; equal records are given each.
+
+A file is never split: where a record starts in a plain file can't be told from payload that
+looks alike. The writer ends files at ``WarcWriter.LIMIT`` bytes, half the share of a partition.
+Paths are those of the session, ``s3a://`` too.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -66,8 +75,21 @@ _ARROW = pa.schema([
 ])
 
 
+_NUMBER = re.compile(r"[0-9]{1,18}")
+
+
+class Damaged(ValueError):
+    """The file can't be read further."""
+
+
+def uri(path: str) -> str:
+    """The path as a URI that Arrow knows."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
+    return path if "://" in path or path.startswith("file:") else "file://" + path
+
+
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    return pafs.FileSystem.from_uri(uri(path))
 
 
 @dataclass
@@ -96,9 +118,12 @@ class _Plain:
         self.at += len(got)
         return got
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int) -> bool:
+        """Whether there was as much."""
+        whole = self.at + n <= self.size
         self.at = min(self.size, self.at + n)
         self.raw.seek(self.at)
+        return whole
 
     def offset(self) -> int:
         return self.at
@@ -114,16 +139,22 @@ class _Zipped:
     def _more(self) -> bool:
         while True:
             if self.unzip is None:
-                if not self.left:
+                while not self.left.lstrip(b"\0"):  # padding
+                    self.consumed += len(self.left)
                     self.left = self.raw.read(1 << 18)
-                if not self.left:
-                    return False
+                    if not self.left:
+                        return False
+                self.consumed += len(self.left) - len(self.left.lstrip(b"\0"))
+                self.left = self.left.lstrip(b"\0")
                 self.unzip, self.member = zlib.decompressobj(31), self.consumed
             if not self.left:
                 self.left = self.raw.read(1 << 18)
                 if not self.left:
                     return False
-            got = self.unzip.decompress(self.left)
+            try:
+                got = self.unzip.decompress(self.left)
+            except zlib.error as why:
+                raise Damaged(f"the gzip member at {self.member} can't be decoded: {why}") from why
             rest = self.unzip.unused_data
             self.consumed += len(self.left) - len(rest)
             self.left = rest
@@ -150,13 +181,15 @@ class _Zipped:
         self.at += len(got)
         return got
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int) -> bool:
+        """Whether there was as much."""
         while n > len(self.have) - self.at:
             n -= len(self.have) - self.at
             self.have, self.at = b"", 0
             if not self._more():
-                return
+                return False
         self.at += n
+        return True
 
     def offset(self) -> int:
         return self.member
@@ -180,7 +213,7 @@ def http(block: bytes) -> tuple[int | None, dict[str, str], int]:
     """Status, headers and where the body starts."""
     head = io.BytesIO(block)
     first = head.readline().split()
-    status = int(first[1]) if len(first) > 1 and first[0].startswith(b"HTTP/") and first[1].isdigit() else None
+    status = int(first[1]) if len(first) > 1 and first[0].startswith(b"HTTP/") and re.fullmatch(rb"[0-9]{1,9}", first[1]) else None
     return status, _fields(head.readline), head.tell()
 
 
@@ -208,7 +241,14 @@ def body(raw: bytes, headers: dict[str, str]) -> bytes:
 
 def records(raw, zipped: bool, wanted=lambda name, value: True, payload: bool = True, failfast: bool = False):
     """Rows of one open file, without file name; ``wanted(column, value)`` is asked as each is known."""
-    at = _Zipped(raw) if zipped else _Plain(raw)
+    try:
+        yield from _records(_Zipped(raw) if zipped else _Plain(raw), zipped, wanted, payload)
+    except Damaged:
+        if failfast:
+            raise
+
+
+def _records(at, zipped, wanted, payload):
     while True:
         while (line := at.line()) in (b"\r\n", b"\n"):
             pass
@@ -217,19 +257,20 @@ def records(raw, zipped: bool, wanted=lambda name, value: True, payload: bool =
         offset = at.offset() if zipped else at.offset() - len(line)
         head = _fields(at.line) if line.startswith(b"WARC/") else {}
         length = head.get("content-length", "")
-        if not length.isdigit():
-            if failfast:
-                raise ValueError(f"no WARC record at offset {offset}")
-            return
+        if not _NUMBER.fullmatch(length):
+            raise Damaged(f"no WARC record at offset {offset}")
         n = int(length)
         known = {c: head.get(f) for c, f in _FIELDS.items()} | {"content_length": n}
         if not all(wanted(c, v) for c, v in known.items()):
-            at.skip(n)
+            if not at.skip(n):
+                raise Damaged(f"the record at offset {offset} ends early")
             continue
         is_http = (known["content_type"] or "").startswith("application/http") and known["warc_type"] == "response"
         status, fields, data = None, None, None
         if is_http or payload:
             block = at.take(n)
+            if len(block) < n:
+                raise Damaged(f"the record at offset {offset} ends early")
             if is_http:
                 status, fields, start = http(block)
                 if not wanted("http_status", status):
@@ -237,8 +278,8 @@ def records(raw, zipped: bool, wanted=lambda name, value: True, payload: bool =
                 data = body(block[start:], fields) if payload else None
             else:
                 data = block
-        else:
-            at.skip(n)
+        elif not at.skip(n):
+            raise Damaged(f"the record at offset {offset} ends early")
         if not is_http and not wanted("http_status", None):
             continue
         yield (*known.values(), list(head.items()), status, None if fields is None else list(fields.items()), data, offset)
@@ -251,6 +292,7 @@ class WarcReader(DataSourceReader):
         self.failfast = options.get("mode", "permissive").lower() == "failfast"
         self.push = options.get("pushdown", "false").lower() == "true"
         self.share = int(options.get("maxpartitionbytes", 128 << 20))
+        self.tasks = int(options.get("tasks", 0))
         self.tests: list[tuple[str, type, object]] = []
 
     def pushFilters(self, filters):
@@ -266,9 +308,10 @@ class WarcReader(DataSourceReader):
         found = fs.get_file_info(path)
         every = [found] if found.is_file else fs.get_file_info(pafs.FileSelector(path, recursive=True))
         files = sorted((f.path, f.size) for f in every if f.is_file and not any(p[:1] in "_." for p in f.path[len(path) :].split("/") if p))
+        share = min(self.share, max(1 << 20, sum(n for _, n in files) // self.tasks)) if self.tasks else self.share
         out, size = [Files([])], 0
         for name, n in files:
-            if size and size + n > self.share:
+            if size and size + n > share:
                 out.append(Files([]))
                 size = 0
             out[-1].paths.append(name)
@@ -322,7 +365,7 @@ class WarcWriter(DataSourceArrowWriter):
     the files of the attempts that count, so failed and repeated tasks leave nothing.
     """
 
-    LIMIT = 256 << 20
+    LIMIT = 64 << 20
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
@@ -392,7 +435,13 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
+    """All records below ``path``. A partition holds as many bytes as Spark's own file sources would give it."""
     register(spark)
+    if "maxpartitionbytes" not in options:
+        most = spark.conf.get("spark.sql.files.maxPartitionBytes").lower()
+        n = re.fullmatch(r"([0-9]+)([kmgt]?)b?", most)
+        options["maxpartitionbytes"] = int(n[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[n[2]] if n else 128 << 20
+        options["tasks"] = spark.sparkContext.defaultParallelism
     return spark.read.format("warc").options(**options).load(path)
 
 
@@ -429,8 +478,10 @@ def page_records(pages: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
     """``(page_id, url, html)`` of the responses, after the pages were written to ``path`` as WARC files.
 
-    Pages of a null html have no response. A null url comes back as null; line breaks within a
-    url as blanks.
+    Pages of a null html have no response. A null page_id or url comes back as null, an empty html
+    as empty; line breaks within a url as blanks. Very long pages are one record each; repeated
+    rows come back as often. An empty table gives an empty result; other columns, of whatever
+    names, are left out; page_id is a whole number.
     """
     write_warc(page_records(pages), path)
     return scan(pages.sparkSession, path, "warc_type = 'response' and http_status = 200").select(
