@@ -3,6 +3,10 @@
 import gzip
 import io
 import random
+import re
+import time
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +73,82 @@ def test_swapped_identities_score_alike():
     assert gaps[0] > 0.02 and gaps[1] < gaps[0] / 2
 
 
+def slighted(n=400, seed=9):
+    """Texts with identity terms, one of which is labelled toxic more often, and their features."""
+    r = random.Random(seed)
+    texts, y = [], []
+    for _ in range(n):
+        term = r.choice(["muslims", "christians", "jews", "hindus"])
+        toxic = r.random() < (0.7 if term == "muslims" else 0.1)
+        texts.append(f"{' '.join(r.choice(MILD) for _ in range(5))} {term}" + (" idiot scum" if toxic and r.random() < 0.4 else ""))
+        y.append(int(toxic))
+    return texts, np.array(y)
+
+
+def fitted(texts, y, penalty):
+    codes, _, offs = textvec.distinct(*toxicity.features(textvec.tokenize(pa.array(texts))))
+    return toxicity.fit(codes.astype(np.int32), offs, y, np.ones(len(y)), penalty)
+
+
+def logit(model, texts):
+    p = model.score(textvec.tokenize(pa.array(texts)))
+    return np.log(p / (1 - p))
+
+
+def test_penalty_in_use_evens_out_neutral_mentions():
+    """With the penalty as in production, a neutral mention of the slighted group is no false positive."""
+    texts, y = slighted()
+    group = toxicity.IDENTITY_GROUPS[2]
+    neutral = {p: [fitted(texts, y, p).score(textvec.tokenize(pa.array([f"we met some {t} there"]))) [0] for t in group[:4]] for p in (0.0, toxicity.PENALTY)}
+    assert neutral[0.0][0] > toxicity.THRESHOLD > neutral[toxicity.PENALTY][0]
+    assert np.ptp(neutral[toxicity.PENALTY]) < 0.3 * np.ptp(neutral[0.0])
+    m = fitted(texts, y, toxicity.PENALTY)
+    assert logit(m, ["some muslims idiot scum"])[0] > logit(m, ["some muslims"])[0] + 1
+
+
+def test_fit_is_the_optimum_over_swapped_sentences():
+    """The loss written out over sentences whose term is swapped, minimised by Newton's method, is met."""
+    texts, y = slighted(250, 3)
+    m = fitted(texts, y, toxicity.PENALTY)
+
+    def matrix(some):
+        x = np.zeros((len(some), len(m.codes) + 1))
+        x[:, -1] = 1
+        for k, t in enumerate(some):
+            have = np.unique(toxicity.features(textvec.tokenize(pa.array([t])))[0])
+            x[k, :-1] = np.isin(m.codes, have)
+        return x
+
+    x, change = matrix(texts), []
+    group = toxicity.IDENTITY_GROUPS[2]
+    for t in texts:
+        term = next(w for w in t.split() if w in group)
+        change += [matrix([t.replace(term, o)])[0] - matrix([t])[0] for o in group if o != term]
+    change, n = np.array(change), len(y)
+    ridge = np.append(np.full(len(m.codes), toxicity.RIDGE), 0)
+
+    def loss(w):
+        z = x @ w
+        return np.mean(np.logaddexp(0, z) - y * z) + (ridge * w * w).sum() / 2 + toxicity.PENALTY * ((change @ w) ** 2).sum() / n
+
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        grad = x.T @ (p - y) / n + ridge * w + 2 * toxicity.PENALTY * change.T @ (change @ w) / n
+        hess = (x.T * (p * (1 - p))) @ x / n + np.diag(ridge) + 2 * toxicity.PENALTY * change.T @ change / n
+        w = w - np.linalg.solve(hess + 1e-12 * np.eye(len(w)), grad)
+    mine = loss(np.append(m.weights, m.bias))
+    assert loss(w) - 1e-9 <= mine <= loss(w) + 0.003
+
+
+def test_repeated_rows_dont_grow_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda codes, offs, y, *rest: seen.append((len(y), len(codes))))
+    rows = table(spark, [(1, "zz", "en"), (1, "aa", "en"), (1, "aa", "en"), (2, "bb", "en")] * 50)
+    toxicity.train(rows, spark.createDataFrame([(1, 0, 1), (2, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert seen == [(2, 2)]
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_tables(spark)
     odd = table(spark, [(None, "idiot scum moron", "en"), (1, None, "en"), (2, "", None), (3, "idiot scum moron " * 9000, "en"), (3, "fine", "en"), (3, "fine", "en")], extra=True)
@@ -98,19 +178,39 @@ def test_resampling(spark):
 
 
 def test_log_weights_by_hand(spark):
-    docs = table(spark, [(1, "a b", "en"), (2, "b b!", "en"), (3, None, "en"), (4, "", "en")])
-    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    """Counts of the n-grams themselves; so few are in buckets of their own."""
+    rows = [(1, "a b"), (2, "b b!"), (3, None), (4, ""), (5, "A b, c"), (None, "a a")]
+    docs = table(spark, [(i, t, "en") for i, t in rows])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (5, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def grams(t):
+        w = re.findall(r"[a-z]+|[^a-z ]+", t.lower())
+        return Counter([*w, *zip(w, w[1:])])
+
+    raw = sum((grams(t) for _, t in rows if t), Counter())
+    target = grams("a b") + grams("a b, c")
+    many = 1 << 18
+    size = [sum(c.values()) + many for c in (raw, target)]
+    got = {r.doc_id: r.log_weight for r in resample.weights(docs, resample.log_ratio(docs, labels, many=many)).collect()}
+    want = {i: sum(n * (np.log((target[g] + 1) / size[1]) - np.log((raw[g] + 1) / size[0])) for g, n in grams(t).items()) for i, t in rows if t is not None}
+    assert got == pytest.approx(want)
+
+
+def test_each_row_has_its_own_noise(spark):
+    """Null ids draw by their texts; ids that a double can't tell apart are told apart."""
+    big = 2**60
+    docs = table(spark, [(None, "x y", "en"), (None, "y x", "en"), (None, "x y", "en"), (big + 1, "good words", "en"), (big + 3, "bad", "en")])
+    got = resample.weights(docs, np.zeros(16384)).collect()
+    assert len({r.key for r in got}) == 4 and len({r.key for r in got if r.doc_id is None}) == 2
+    labels = spark.createDataFrame([(big + 3, 1, 0)], "doc_id long, quality int, toxic int")
     ratio = resample.log_ratio(docs, labels)
-    counts = []
-    for text in (["a b", "b b!"], ["a b"]):
-        c = np.ones(resample.BUCKETS)
-        for t in textvec.chunks(pa.array(text), punct=True):
-            for b, _ in resample._buckets(t):
-                c += np.bincount(b, minlength=resample.BUCKETS)
-        counts.append(c / c.sum())
-    assert np.allclose(ratio, np.log(counts[1]) - np.log(counts[0]))
-    got = {r.doc_id: r.log_weight for r in resample.weights(docs, ratio).collect()}
-    assert set(got) == {1, 2, 4} and got[4] == 0 and got[1] > got[2]
+    w = {r.doc_id: r.log_weight for r in resample.weights(docs, ratio).collect()}
+    assert w[big + 3] > 0 > w[big + 1]
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    assert resample.buckets(table(spark, [])) == 16384 == resample.buckets(table(spark, [(1, "x" * 1000, "en")]))
+    assert resample.buckets(spark.range(40).selectExpr("repeat('x', 10000000) as text")) == 32768
 
 
 def test_resampling_edges(spark):
@@ -137,6 +237,36 @@ def test_languages_held_out(spark):
     assert rest == {1: None, 2: None, 3: None, None: "en", 5: "de"}
 
 
+def test_machine_is_near_the_optimum():
+    """The squared-hinge loss is that of Newton steps on the same loss."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(60, 6)) + 0.4, r.normal(size=(90, 6)) - 0.4]).astype(np.float32)
+    y = np.repeat([1.0, -1.0], [60, 90])
+    vote = np.where(y > 0, 0.5 / 60, 0.5 / 90)
+
+    def loss(w, b, reg=1e-4):
+        return (vote * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum() + reg / 2 * w @ w
+
+    z = np.column_stack([x, np.ones(len(x))]).astype(float)
+    v = np.zeros(7)
+    for _ in range(50):
+        on = 1 - y * (z @ v) > 0
+        reg = np.diag([1e-4] * 6 + [1e-12])
+        v = np.linalg.solve(2 * (z[on].T * vote[on]) @ z[on] + reg, 2 * z[on].T @ (vote * y)[on])
+    assert loss(*langid.svm(x, y)) <= loss(v[:6], v[6]) * 1.001 + 1e-6
+
+
+def test_votes_by_trying_all_pairs():
+    r = np.random.default_rng(3)
+    names = ("a", "b", "c", "d")
+    margin = {p: r.normal(size=200) for p in combinations(names, 2)}
+    got = langid._vote(names, margin, 200)
+    for k in range(200):
+        won = {n: sum((margin[n, o][k] >= 0) if (n, o) in margin else (margin[o, n][k] < 0) for o in names if o != n) for n in names}
+        total = {n: sum(margin[n, o][k] if (n, o) in margin else -margin[o, n][k] for o in names if o != n) for n in names}
+        assert got[k] == max(names, key=lambda n: (won[n], total[n]))
+
+
 def test_one_and_no_language(spark):
     one = langid.train(table(spark, [(1, "the and", "en"), (2, "the", "en")]))
     assert [r.predicted for r in langid.identify(table(spark, [(1, "xyz", None)]), one).collect()] == ["en"]
@@ -259,6 +389,33 @@ def test_parse():
     assert htmlx.parse("<" * 50_000).end == [1] and htmlx.parse('<a "' * 20_000)
 
 
+def test_parsing_and_decoding_take_time_in_proportion():
+    """Two megabytes of unknown ends, of open inline elements before blocks, and of text in deep inline elements."""
+    for html in ("<div>" * 20_000 + "</x>" * 400_000, "<b>" * 100_000 + "<hr>" * 300_000, "<div><b>" * 2 + "<i>w" * 400_000, "<p>" * 300_000, "<ul>" + "<li><b>" * 200_000):
+        began = time.perf_counter()
+        d = htmlx.parse(html)
+        x, own = htmlx.features(d)
+        htmlx.assemble(d, htmlx.decode(d, np.ones(len(own)), own))
+        assert time.perf_counter() - began < 30
+
+
+def test_attribute_tokens_of_the_same_letters_differ():
+    rows = [htmlx.features(htmlx.parse(f'<p class="{c}">x</p>'))[0][1] for c in ("dates", "sated", "dates")]
+    assert (rows[0] == rows[2]).all() and (rows[0] != rows[1]).any()
+
+
+def test_sample_of_pages_is_the_least_hashed(spark, monkeypatch):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, "u", page(r)) for i in range(300)], "page_id long, url string, html string")
+    seen = []
+    monkeypatch.setattr(htmlx, "boost", lambda x, y, w: seen.append((x.shape, float(x.sum()))))
+    for parts in (1, 7):
+        htmlx.train(df.repartition(parts), 40)
+    assert seen[0] == seen[1]
+    want = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("page_id", "html"), 11)).orderBy("h").limit(40).collect()
+    assert seen[0][0][0] == sum(int((htmlx.features(htmlx.parse(p.html))[1] > 0).sum()) for p in want)
+
+
 def test_decoding_is_best_and_consistent():
     r = np.random.default_rng(5)
     for _ in range(60):
@@ -352,6 +509,47 @@ def test_odd_files(zipped):
         list(warc.records(io.BytesIO(b"junk\n"), False, failfast=True))
 
 
+WHOLE = warc.encode("response", "u", None, "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\n\r\nbody")
+
+
+@pytest.mark.parametrize("raw, zipped", [
+    (gzip.compress(WHOLE) + b"bytes that are no member", True),
+    (gzip.compress(WHOLE) + b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03" + b"\xff" * 60, True),
+    (gzip.compress(WHOLE) + gzip.compress(WHOLE)[:-20], True),
+    (gzip.compress(WHOLE + WHOLE[:-20]), True),
+    (WHOLE + WHOLE[:-20], False),
+    (WHOLE + WHOLE.replace(b"Content-Length: ", b"Content-Length: 9" + b"9" * 30), False),
+    (WHOLE + WHOLE.replace(b"Content-Length: ", "Content-Length: ²".encode()), False),
+    (WHOLE + WHOLE.replace(b"Content-Length: ", b"Content-Length: -"), False),
+    (WHOLE + b"junk\n", False),
+])
+@pytest.mark.parametrize("wanted", [lambda c, v: True, lambda c, v: c != "warc_type" or v == "request"])
+def test_damaged_files(raw, zipped, wanted):
+    """The records before the damage are given; failfast raises, whether payloads are read or skipped."""
+    some = 1 if wanted("warc_type", "response") else 0
+    assert len(list(warc.records(io.BytesIO(raw), zipped, wanted))) == some
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(raw), zipped, wanted, failfast=True))
+
+
+def test_odd_but_sound_files():
+    odd = WHOLE.replace(b"200 OK", b"99999999999 X")
+    odd = odd.replace(b"Content-Length: %d" % len(b"HTTP/1.1 200 OK\r\n\r\nbody"), b"Content-Length: %d" % len(b"HTTP/1.1 99999999999 X\r\n\r\nbody"))
+    got = list(warc.records(io.BytesIO(odd + WHOLE), False, failfast=True))
+    assert [(r[7], r[9]) for r in got] == [(None, b"body"), (200, b"body")]
+    padded = gzip.compress(WHOLE) + b"\0" * 300_000 + gzip.compress(WHOLE) + b"\0" * 1000
+    assert len(list(warc.records(io.BytesIO(padded), True, failfast=True))) == 2
+    assert warc.uri("s3a://bucket/a b") == "s3://bucket/a b" and warc.uri("/tmp/x") == "file:///tmp/x" and warc.uri("file:/x") == "file:/x" and warc.uri("hdfs://h/x") == "hdfs://h/x"
+
+
+def test_damaged_files_in_spark(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(WHOLE) + b"no member")
+    (tmp_path / "b.warc").write_bytes(WHOLE + WHOLE)
+    assert warc.read_warc(spark, str(tmp_path)).count() == 3
+    with pytest.raises(Exception, match="gzip member"):
+        warc.read_warc(spark, str(tmp_path), mode="failfast").count()
+
+
 def test_toxicity_fits_on_twenty_thousand_labels(spark, monkeypatch):
     fitted = []
     monkeypatch.setattr(toxicity, "fit", lambda codes, offs, toxic, *rest: fitted.append(len(toxic)))
