@@ -29,6 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+ARROW_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that go to Python workers.
+
+    Spark bounds their rows alone well: 10,000 long texts may fill an executor. A smaller bound
+    that the session has stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key, None)
+    if found is None or not found.isdigit() or not 0 < int(found) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -39,6 +54,7 @@ def staged(df: DataFrame, name: str, into: list[DataFrame] | None = None) -> Dat
     The table is added to ``into``, the tables that the caller will ``unstage``.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -56,6 +72,7 @@ def unstage(df: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
