@@ -61,6 +61,46 @@ def lcs(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def lcs_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of each word of ``a`` with each of ``b``, all at once."""
+    size_a, size_b = (np.array([len(w) for w in x], np.int64) for x in (a, b))
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i, j in zip(*np.nonzero((size_a > 63)[:, None] | (size_b > 63)[None, :])):
+        out[i, j] = _lcs_long(a[i], b[j])
+    ra, rb = np.flatnonzero(size_a <= 63), np.flatnonzero(size_b <= 63)
+    if not len(ra) or not len(rb):
+        return out
+    letters = {c: n for n, c in enumerate(sorted({c for w in b[rb] for c in w}))}
+    table = np.zeros((len(letters) + 1, len(ra)), np.uint64)  # the places of each letter in the words of a
+    for n, w in enumerate(a[ra]):
+        for i, c in enumerate(w):
+            if c in letters:
+                table[letters[c], n] |= np.uint64(1 << i)
+    order = rb[np.argsort(-size_b[rb], kind="stable")]  # the longest first, so that each step takes a shorter head
+    spelled = np.full((len(order), max(1, int(size_b[order].max()))), len(letters), np.int64)
+    for n, w in enumerate(b[order]):
+        spelled[n, : len(w)] = [letters[c] for c in w]
+    full = (np.uint64(1) << size_a[ra].astype(np.uint64)) - np.uint64(1)
+    s = np.repeat(full[None, :], len(order), 0)
+    for j in range(int(size_b[order].max())):
+        m = int(np.searchsorted(-size_b[order], -j))  # words longer than j
+        head = s[:m]
+        u = head & table[spelled[:m, j]]
+        s[:m] = ((head + u) | (head - u)) & full
+    out[np.ix_(ra, order)] = (size_a[ra][None, :] - np.bitwise_count(s)).T
+    return out
+
+
+def ratio_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``ratios`` of each word of ``a`` with each of ``b``; words are distinct within each."""
+    total = np.array([len(w) for w in a], np.float64)[:, None] + np.array([len(w) for w in b], np.float64)[None, :]
+    score = np.rint(100 * 2 * lcs_table(a, b) / np.maximum(total, 1)).astype(np.int32)
+    score[total == 0] = 100
+    _, i, j = np.intersect1d(a.astype(str), b.astype(str), assume_unique=True, return_indices=True) if len(a) and len(b) else ([], [], [])
+    score[i, j] = 100
+    return score
+
+
 def ratios(a: list[str | None], b: list[str | None]) -> np.ndarray:
     """Indel similarity 0..100 of each pair, halves rounded to even; 100 if equal, 0 with a null."""
     x, y = [v or "" for v in a], [v or "" for v in b]

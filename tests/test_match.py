@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +93,60 @@ def test_tiers_equal_brute_force(spark, seed):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def split_rows(spark, seed, n, source):
+    """The same few words under all labels, in any split and with repeats."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lab = [(r.choice(["ACME", "NORTH", "ACMEE", "INC", "W" * 70]), r.randrange(3)) for _ in range(r.randint(0, 4))]
+        lab.sort(key=lambda x: x[1])
+        rows.append((i, "".join(w + " " for w, _ in lab) + str(r.randrange(3)), source, lab))
+    return spark.createDataFrame(rows, LABELLED)
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 4096), (2, 4096), (3, 2)])
+def test_label_splits_equal_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(match, "HOT", hot)
+    mine, pool = split_rows(spark, seed, 60, "inference"), split_rows(spark, seed + 10, 60, "reference")
+    cols = ["row_id", "matched_id", F.round("score", 6).alias("score"), "category"]
+    got, want = match.match(mine, pool).select(*cols), match.brute_force(mine, pool).select(*cols)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    rows = mine.collect()
+    lists = {x.row_id: [[w for w, k in x.labels if k == c] for c in range(3)] for x in rows}
+    named = {x.row_id: x.name for x in rows}
+    for x in match.alias(mine).collect():
+        a = lists[x.row_id]
+        if not any(a):
+            assert x.alias == ""
+            continue
+        alike = [k for k, b in lists.items() if any(b) and Scorer(word_pairs([(*b, *a)]), LinkConfig()).pair(*b, *a)[1] in ("Match", "Alias")]
+        assert x.alias == (max((len(named[k]), -k, named[k]) for k in alike)[2] if alike else "")
+
+
+def test_lists_that_share_all_words_differ(spark):
+    rows = [(1, "a", "inference", [("ACME", 0), ("NORTH", 1)]), (2, "bb", "inference", [("ACME", 0), ("NORTH", 0)])]
+    pool = [(8, "R1", "reference", [("ACME", 0), ("NORTH", 1)]), (9, "R2", "reference", [("ACME", 0), ("NORTH", 0)])]
+    mine = spark.createDataFrame(rows, LABELLED)
+    got = {x.row_id: x.matched_name for x in match.match(mine, spark.createDataFrame(pool, LABELLED)).collect()}
+    assert got == {1: "R1", 2: "R2"} and {x.row_id: x.alias for x in match.alias(mine).collect()} == {1: "a", 2: "bb"}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcé", max_size=70), max_size=6, unique=True), st.lists(st.text("abcé", max_size=70), max_size=6, unique=True))
+def test_ratio_tables(a, b):
+    got = sim.ratio_table(np.array(a, object), np.array(b, object))
+    assert got.tolist() == [sim.ratios([x] * len(b), b).tolist() for x in a]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(["ACME", "ACMEE", "ELECTRICALS", "ELECTRIKALS", "ABCDEFGHIJKLMNOPQRSTU", "ABCDEFGHIJKLMNOPQRSTV", "", "X" * 80]), max_size=4)] * 6), max_size=12), st.booleans())
+def test_batches_score_as_one_by_one(rows, ieee):
+    config = LinkConfig(compat="ieee" if ieee else "tolerant")
+    total, kind = match.Batch([pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in range(6)], config).scores()
+    for r, s, c in zip(rows, total, kind):
+        assert Scorer(word_pairs([r]), config).pair(*r) == (s, c)
+
+
 def test_gate_is_an_equi_join(spark):
     mine = rows_of(spark, 3, 5, "inference")
     sig = match.signatures(mine)
