@@ -15,6 +15,17 @@ POS_CODES = {
 }
 
 
+def tiles(labels: Column) -> Column:
+    """Words with labels (structs word, label) as HTML: a tile of the label's colour for each, its text escaped."""
+    colour = F.create_map(*[F.lit(x) for k, v in LABEL_COLOURS.items() for x in (k, v)])
+
+    def tile(p):
+        text = F.replace(F.replace(F.replace(p["word"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.concat(F.lit('<span style="background:'), colour[p["label"].cast("int")], F.lit('">'), text, F.lit("</span>"))
+
+    return F.array_join(F.transform(labels, tile), " ")
+
+
 def first_n(a: Column, n: int = 10) -> Column:
     return F.slice(a, 1, n)
 

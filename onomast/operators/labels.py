@@ -8,7 +8,7 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,13 +99,20 @@ def token_features(df: DataFrame, most: int = 10) -> DataFrame:
     return out
 
 
-def train_labeler(df: DataFrame, features: int = 4096, reg: float = 1e-4) -> PipelineModel:
-    """Fits token labels on rows with words and label_list: a multinomial model with neighbour context."""
+def train_labeler(df: DataFrame, features: int = 4096, reg: float = 1e-4, hidden: tuple[int, ...] = ()) -> PipelineModel:
+    """Fits token labels 0..3 on rows with words and label_list, with neighbour context.
+
+    The model is multinomial regression, or with ``hidden`` a feed-forward network of hidden layers
+    of those sizes (choose fewer ``features`` then: the first layer has as many inputs).
+    """
     tokens = token_features(df).filter("label is not null")
+    head = LogisticRegression(maxIter=40, regParam=reg, family="multinomial")
+    if hidden:
+        head = MultilayerPerceptronClassifier(layers=[features + 5, *hidden, 4], maxIter=60, seed=42)
     stages = [
         FeatureHasher(inputCols=list(_CONTEXT), outputCol="hashed", numFeatures=features),
         VectorAssembler(inputCols=["hashed", "length", "position", "count", "pos", "weight"], outputCol="features"),
-        LogisticRegression(maxIter=40, regParam=reg, family="multinomial"),
+        head,
     ]
     return Pipeline(stages=stages).fit(tokens)
 

@@ -300,8 +300,9 @@ def _residual(config: LinkConfig):
         for p in range(top):
             wa, ia = np.unique(np.array([x[p] if p < len(x) else "" for x in a], object), return_inverse=True)
             wb, ib = np.unique(np.array([x[p] if p < len(x) else "" for x in b], object), return_inverse=True)
-            x, y = (k.ravel() for k in np.indices((len(wa), len(wb))))
-            table = lifted(wa, x, wb, y, ratio_table(wa, wb).astype(np.int64).ravel(), config).reshape(len(wa), len(wb)).astype(np.float64)
+            table = ratio_table(wa, wb).astype(np.float64)
+            x, y = np.nonzero((table >= config.phonetic_least) & (table < 100))
+            table[x, y] = lifted(wa, x, wb, y, table[x, y], config)
             total += np.where(longest > p, table[ia][:, ib] / (p + 1) ** 2, 0)
         whole = np.concatenate([[1.0], np.cumsum([1 / (k + 1) ** 2 for k in range(max(top, 1))])])
         score = total * config.important_weight / whole[longest] / 100

@@ -45,6 +45,22 @@ def split_names(df: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     return out.withColumn(config.name, F.col("_name")).withColumn("part", F.coalesce("part", F.lit(0))).drop("_parts", "_name")
 
 
+def part_ids(df: DataFrame) -> DataFrame:
+    """Split rows with row_ids of their own, in the order of input row and part; the input's is in input_id.
+
+    They are row_id times the greatest number of parts, plus the part. Where that doesn't fit 64
+    bits, rows are numbered in that order instead.
+    """
+    out = df.withColumn("input_id", F.col("row_id").cast("long"))
+    most = df.agg(F.max("part").alias("part"), F.max(F.abs(F.col("row_id").cast("decimal(20,0)"))).alias("id")).first()
+    parts = (most["part"] or 0) + 1
+    if (int(most["id"] or 0) + 1) * parts < 2**63:
+        return out.withColumn("row_id", F.col("input_id") * F.lit(parts).cast("long") + F.col("part"))
+    # text that sorts as the numbers do: the sign bit flipped, in hexadecimal
+    sortable = F.lpad(F.hex(F.col("input_id").bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0")
+    return ranked(out.drop("row_id"), ["part"], 3, "row_id", sortable)
+
+
 def clean_names(df: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Adds cleaned_name (upper case) and words (tokens for weighting)."""
     return df.withColumn("cleaned_name", text.upper_or_empty(F.col(config.name))).withColumn("words", text.weighting_words(F.col(config.name)))

@@ -41,15 +41,18 @@ def idf_table(rows: DataFrame, corpus: DataFrame | None = None, config: LinkConf
     return own.join(size, "fold").select("fold", "word", "df", arrays.modified_idf(F.col("n"), F.col("df"), config.idf_power).alias("idf"))
 
 
-def weights_long(rows: DataFrame, corpus: DataFrame | None = None, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """(row_id, fold, word, pos, tf, df, idf, tfidf, normalized) of rows with row_id, fold and words."""
-    idf = idf_table(rows, corpus, config)
+def weights_long(rows: DataFrame, corpus: DataFrame | None = None, config: LinkConfig = LinkConfig(), idf: DataFrame | None = None) -> DataFrame:
+    """(row_id, fold, word, pos, tf, df, idf, tfidf, normalized) of rows with row_id, fold and words.
+
+    ``idf`` is a table (fold, word, df, idf) of an earlier run; words that it lacks have no weight.
+    """
+    idf = idf_table(rows, corpus, config) if idf is None else idf
     joined = term_frequency(rows, ("fold",)).join(idf, ["fold", "word"]).withColumn("tfidf", F.col("tf") * F.col("idf"))
     total = F.sum("tfidf").over(Window.partitionBy("row_id"))
     return joined.withColumn("normalized", arrays.share_of(F.col("tfidf"), total))
 
 
-def weigh(rows: DataFrame, corpus: DataFrame | None = None, config: LinkConfig = LinkConfig()) -> DataFrame:
+def weigh(rows: DataFrame, corpus: DataFrame | None = None, config: LinkConfig = LinkConfig(), idf: DataFrame | None = None) -> DataFrame:
     """Adds term_frequency, tfidf and normalized_tfidf, arrays of (word, value) in the order of first places.
 
     A row without words has empty arrays.
@@ -59,7 +62,7 @@ def weigh(rows: DataFrame, corpus: DataFrame | None = None, config: LinkConfig =
         return F.transform(ordered, lambda e: F.struct(e["word"].alias("word"), e["value"].alias("value")))
 
     folded = rows if "fold" in rows.columns else rows.withColumn("fold", F.lit(0))
-    grouped = weights_long(folded.select("row_id", "fold", "words"), corpus, config).groupBy("row_id").agg(
+    grouped = weights_long(folded.select("row_id", "fold", "words"), corpus, config, idf).groupBy("row_id").agg(
         entries("tf").alias("term_frequency"), entries("tfidf").alias("tfidf"), entries("normalized").alias("normalized_tfidf")
     )
     out = folded.join(grouped, "row_id", "left")

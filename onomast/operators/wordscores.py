@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import LinkConfig
@@ -27,6 +28,23 @@ def weighted_word_score(r: int, label1: int, label2: int, counts1: dict[int, int
     return s
 
 
+def weighted_word_scores(r: Column, label1: Column, label2: Column, important1: Column, important2: Column, same1: Column, same2: Column, single: Column, config: LinkConfig = LinkConfig()) -> Column:
+    """``weighted_word_score`` as an expression.
+
+    ``important1`` and ``important2`` count the important words of both names, ``same1`` and
+    ``same2`` the words of the label of word 1 in both.
+    """
+    s = F.when(r >= config.unordered_least, r / 100.0).otherwise(0.0)
+    weight = F.when(label1 == 0, config.important_weight / 100).when(label1 == 1, config.subsidiary_weight / 100).otherwise(config.generic_weight / 100)
+    mixed = ((label1 == 0) & (label2 == 1)) | ((label1 == 1) & (label2 == 0))
+    return (
+        F.when(single & (label1 == 0) & (label2 == 0), s)
+        .when((label1 == label2) & label1.isin(0, 1, 2), s * weight / F.greatest(F.lit(1), same1, same2))
+        .when(mixed, s * (config.important_weight / 100) / F.greatest(F.lit(1), F.when(label1 == 0, important1).otherwise(important2)))
+        .otherwise(s)
+    )
+
+
 def name_score(first: list[tuple[str, int]], second: list[tuple[str, int]], config: LinkConfig = LinkConfig()) -> float:
     """Score 0..100 of two labelled word lists: the sum over word pairs that are best for both of their words."""
     if not first or not second:

@@ -6,15 +6,16 @@ the tables hold no organization names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import LinkConfig
+from ..config import LinkConfig, load_config
 from ..functions import arrays, similarity, text
 from ..operators import evaluate, labels, match, names, nlp, report, weights, wordscores
-from ..sources import readers
+from ..sources import readers, sinks
 from ..streaming.match_stream import match_stream
 from ..cut import shared_dir
 
@@ -188,7 +189,158 @@ def r6(c: str) -> Column:
     return F.round(c, 6).alias(c)
 
 
-# --- sources and projections
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, so that runs at one time don't meet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _small(spark, d):
+    """A table of names with what formats have to carry: nulls, numbers, quotes, line breaks, non-ASCII letters."""
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, F.lit(None)).when(k == 1, F.concat(F.col("p_name"), F.lit(' "x", <é>'))).when(k == 2, F.concat(F.col("p_name"), F.lit("\n&"))).otherwise(F.col("p_name"))
+    return _part(spark, d).select("p_partkey", name.alias("name"), (F.col("p_size") / 4.0).alias("x"))
+
+
+_SMALL = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_name || ' "x", <é>' WHEN 2 THEN p_name || chr(10) || '&' ELSE p_name END AS name, p_size / 4.0 AS x FROM part"""
+
+
+# --- sources and sinks: each writes all rows and reads them back
+
+
+@query("src1_excel_sheet", _SMALL)
+def _(spark, d):
+    path = _place(spark, "names") + ".xlsx"
+    sinks.save_results(_small(spark, d), path, "excel")
+    return readers.read_table(spark, path)
+
+
+@query("src3_corpus_of_json_records", f"SELECT p_partkey, name FROM ({_SMALL})")
+def _(spark, d):
+    """A JSON array of objects, over several lines."""
+    path = _place(spark, "records")
+    records = _small(spark, d).select(F.to_json(F.struct("p_partkey", "name")).alias("r")).groupBy(F.col("r").isNull().alias("g")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]")).alias("value"))
+    records.select("value").write.text(path)
+    return readers.read_table(spark, path, "json_records", schema="p_partkey long, name string")
+
+
+@query("src4_input_of_json_lines", _SMALL)
+def _(spark, d):
+    path = _place(spark, "lines")
+    sinks.save_results(_small(spark, d), path, "json")
+    return readers.read_table(spark, path, "json", schema="p_partkey long, name string, x double")
+
+
+@query("src5_training_rows_of_json", "SELECT row_id, array_to_string(words, '|') AS words FROM worded", "worded")
+def _(spark, d):
+    path = _place(spark, "training")
+    sinks.save_results(_worded(spark, d).select("row_id", "words"), path, "json")
+    return readers.read_table(spark, path, "json", schema="row_id long, words array<string>").withColumn("words", _joined("words"))
+
+
+@query("src8_settings", "SELECT p_partkey, p_partkey // 50 AS fold, CAST(0.5 AS DOUBLE) AS power FROM part")
+def _(spark, d):
+    """Settings of an INI file in use."""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".ini") as f:  # read on the driver at once
+        f.write("[weights]\nfold_size = 50\nidf_power = '0.5'\nother = 1\n")
+        f.flush()
+        c = load_config(f.name)
+    return _part(spark, d).select("p_partkey", F.floor(F.col("p_partkey") / c.fold_size).alias("fold"), F.lit(c.idf_power).alias("power"))
+
+
+@query("src9_saved_labeler", "SELECT DISTINCT row_id FROM tokens WHERE row_id % 5 = 0", "tokens")
+def _(spark, d):
+    """A labeler that was saved and loaded gives each row the labels of the one that was trained: the rows where it does."""
+    rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
+    path = _place(spark, "labeler")
+    trained = labels.train_labeler(rows.filter("row_id % 5 <> 0"), 128)
+    labels.save_labeler(trained, path)
+    held = rows.filter("row_id % 5 = 0").select("row_id", "words")
+    one, two = (labels.model_labeler(m)(held).select("row_id", F.col("label_list").alias(c)) for m, c in ((trained, "a"), (labels.load_labeler(path), "b")))
+    return one.join(two, "row_id").filter("a = b").select("row_id")
+
+
+@query("snk1_stage_checkpoint", "SELECT row_id, array_to_string(words, '|') AS words FROM worded", "worded")
+def _(spark, d):
+    return sinks.checkpointed(_worded(spark, d).select("row_id", "words"), _place(spark, "stage")).withColumn("words", _joined("words"))
+
+
+@query("snk4_csv_of_nested_rows", "SELECT row_id, array_to_string(words, '|') AS words FROM worded", "worded")
+def _(spark, d):
+    path = _place(spark, "csv")
+    sinks.save_results(_worded(spark, d).select("row_id", "words"), path, "csv", single=True)
+    return readers.parse_nested(readers.read_table(spark, path, "csv", schema="row_id long, words string")).withColumn("words", _joined("words"))
+
+
+@query("snk5_saved_idf", "SELECT row_id, word, round(tfidf, 6) AS tfidf FROM weights", "weights")
+def _(spark, d):
+    """Weights by an IDF table that an earlier run saved."""
+    path, rows = _place(spark, "idf"), _folded(spark, d).select("row_id", "fold", "words")
+    sinks.save_idf(weights.idf_table(rows, _corpus(spark, d)), path)
+    return weights.weights_long(rows, idf=sinks.load_idf(spark, path)).select("row_id", "word", r6("tfidf"))
+
+
+@query("snk7_saved_results", "SELECT row_id, name FROM names", "names")
+def _(spark, d):
+    path = _place(spark, "results")
+    sinks.save_results(_names(spark, d), path, "orc")
+    return readers.read_table(spark, path, "orc").select("row_id", "name")
+
+
+@query("snk8_stage_counts", "SELECT 'names' AS stage, count(*) AS n FROM names UNION ALL SELECT 'split', count(*) FROM split", "names", "split")
+def _(spark, d):
+    """Rows of stages, counted as they are written."""
+    found = []
+    for stage, df in (("names", _names(spark, d)), ("split", names.split_names(_variants(spark, d)))):
+        seen, counted = sinks.observed(df, stage)
+        seen.write.format("noop").mode("overwrite").save()
+        found.append((stage, counted.get["rows"]))
+    return spark.createDataFrame(found, "stage string, n long")
+
+
+@query("agg11_timed_stages", "SELECT 2 AS stages, true AS summed")
+def _(spark, d):
+    timer = sinks.Timer()
+    for stage in ("a", "b"):
+        timer.run(stage, lambda: _part(spark, d).count())
+    return spark.createDataFrame([(len(timer.seconds), abs(timer.total - sum(timer.seconds.values())) < 1e-9 and timer.total > 0)], "stages int, summed boolean")
+
+
+@query("cli1_stage_from_file_to_file", "SELECT row_id, array_to_string(words, '|') AS words FROM worded WHERE source = 'reference'", "worded")
+def _(spark, d):
+    """The corpus stage of the command line."""
+    from . import cli
+
+    rows, out = _place(spark, "in") + ".jsonl", _place(spark, "out")
+    _names(spark, d).write.json(rows)
+    cli.main(["corpus", "--input", rows, "--output", out, "--format", "parquet"], spark)
+    return spark.read.parquet(out).select("row_id", _joined("words"))
+
+
+@query("cli3_trained_and_applied", "SELECT row_id, least(10, len(string_split(name, ' '))) AS n FROM short", "short")
+def _(spark, d):
+    """The classifier's command in mode train, then in mode test with the model's name."""
+    from . import cli
+
+    rows, model, out = _place(spark, "in") + ".parquet", _place(spark, "model"), _place(spark, "out")
+    labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name")))).write.parquet(rows)
+    cli.main(["classify", "--i", rows, "--o", out, "--m", "train", "--mn", model], spark)
+    cli.main(["classify", "--i", rows, "--o", out, "--m", "test", "--mn", model, "--format", "parquet"], spark)
+    return spark.read.parquet(out).select("row_id", F.size("label_list").cast("long").alias("n"))
+
+
+@query("cli4_features", "SELECT row_id, len(string_split(name, ' ')) AS n FROM short", "short")
+def _(spark, d):
+    from . import cli
+
+    rows, out = _place(spark, "in") + ".parquet", _place(spark, "out")
+    _short(spark, d).write.parquet(rows)
+    cli.main(["features", "--i", rows, "--o", out, "--format", "parquet"], spark)
+    return spark.read.parquet(out).select("row_id", F.size("words").cast("long").alias("n"))
+
+
+# --- projections
 
 
 @query("src2_table_in_memory", "SELECT p_partkey, p_name FROM part WHERE p_partkey < 100")
@@ -447,6 +599,11 @@ def _(spark, d):
     return _names(spark, d).orderBy("row_id").limit(100).select("row_id", "name")
 
 
+@query("lim3_first_row", "SELECT row_id, name FROM names ORDER BY row_id LIMIT 1", "names")
+def _(spark, d):
+    return _names(spark, d).orderBy("row_id").limit(1).select("row_id", "name")
+
+
 @query("lim2_first_of_source", "(SELECT row_id FROM names WHERE source = 'database' ORDER BY row_id LIMIT 100) UNION ALL SELECT row_id FROM names WHERE source = 'reference' AND row_id % 2 = 1", "names")
 def _(spark, d):
     return names.active_owners(_names(spark, d).withColumn("has_owner_role", F.col("row_id") % 2), "database").select("row_id")
@@ -645,10 +802,10 @@ def _(spark, d):
     return sizes.select("n", F.col("i").cast("long").alias("i"), F.round(arrays.place_weight(F.col("i"), F.col("n")), 6).alias("weight"))
 
 
-@query("mth6_ordered_score", "SELECT row_id, ref_id, round(s0, 6) AS score FROM scored WHERE row_id % 30 = 0", "scored")
+@query("mth6_ordered_score", "SELECT row_id, ref_id, round(s0, 6) AS score FROM scored", "scored")
 def _(spark, d):
     mine, pool = _sides(spark, d)
-    a = mine.filter("row_id % 30 = 0").select("row_id", arrays.words_with_label(F.col("labels"), 0).alias("x"))
+    a = mine.select("row_id", arrays.words_with_label(F.col("labels"), 0).alias("x"))
     b = pool.select(F.col("row_id").alias("ref_id"), arrays.words_with_label(F.col("labels"), 0).alias("y"))
     pairs = a.crossJoin(b).withColumn("n", F.greatest(F.size("x"), F.size("y")))
 
@@ -742,6 +899,12 @@ def _(spark, d):
     return _part(spark, d).select("p_partkey", label.alias("label")).select("p_partkey", "label", arrays.label_number(F.col("label")).alias("number"))
 
 
+@query("map4_label_tiles", """SELECT row_id, string_agg('<span style="background:' || ['#2e7d32', '#1565c0', '#9e9e9e'][label + 1] || '">' || replace(replace(replace(word, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>', ' ' ORDER BY i) AS html
+    FROM labelled GROUP BY row_id""", "labelled")
+def _(spark, d):
+    return _labelled(spark, d).select("row_id", arrays.tiles(F.col("labels")).alias("html"))
+
+
 # --- models, scorers, flows
 
 
@@ -764,28 +927,71 @@ def _(spark, d):
 @query("udf4_labeler_trained_and_applied")
 def _(spark, d):
     rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
-    path = f"{shared_dir(spark)}/labeler"
+    path = _place(spark, "labeler")
     labels.save_labeler(labels.train_labeler(rows.filter("row_id % 5 <> 0"), 512), path)
     held = labels.model_labeler(labels.load_labeler(path))(rows.filter("row_id % 5 = 0").select("row_id", "words"))
     return held.select("row_id", F.array_join(F.transform("label_list", lambda x: x.cast("string")), ",").alias("labels"))
 
 
-@query("udf5_evaluation", "SELECT CAST(1 AS DOUBLE) AS accuracy")
+_GUESS = "CASE WHEN i = 1 THEN 0 WHEN word IN ('red', 'blue', 'RED', 'BLUE') OR length(word) > 6 THEN 2 WHEN length(word) = 3 THEN 1 ELSE 0 END"
+
+
+@query("udf5_evaluation", f"SELECT round(avg(CAST(label = {_GUESS} AS DOUBLE)), 6) AS accuracy FROM tokens", "tokens")
 def _(spark, d):
+    """Labels by rules of words and places, held against labels by position."""
     tokens = labels.token_features(labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name")))))
-    return evaluate.token_accuracy(tokens.withColumn("prediction", F.when(F.col("place") < 2, 0.0).when(F.col("place") == 2, 1.0).otherwise(2.0)))
+    w, n = F.col("word"), F.length("word")
+    guess = F.when(F.col("place") == 0, 0).when(w.isin("red", "blue", "RED", "BLUE") | (n > 6), 2).when(n == 3, 1).otherwise(0)
+    return evaluate.token_accuracy(tokens.withColumn("prediction", guess.cast("double"))).select(r6("accuracy"))
+
+
+@query("udf5_trained_evaluation")
+def _(spark, d):
+    """Accuracy of both kinds of trained labelers on tokens of names that they haven't seen."""
+    rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
+    seen, held = rows.filter("row_id % 5 <> 0"), labels.token_features(rows.filter("row_id % 5 = 0"))
+    out = None
+    for kind, model in (("regression", labels.train_labeler(seen, 256)), ("network", labels.train_labeler(seen, 64, hidden=(16,)))):
+        one = evaluate.token_accuracy(model.transform(held)).select(F.lit(kind).alias("model"), "accuracy")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("udf3_token_predictions", "SELECT row_id, count(*) AS n FROM tokens WHERE row_id % 5 = 0 GROUP BY row_id", "tokens")
+def _(spark, d):
+    """A label for each token of held-out names; the SQL tells how many."""
+    rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
+    model = labels.train_labeler(rows.filter("row_id % 5 <> 0"), 256)
+    out = labels.model_labeler(model)(rows.filter("row_id % 5 = 0").select("row_id", "words"))
+    return out.select("row_id", F.size(F.filter("label_list", lambda k: k.between(0, 2))).cast("long").alias("n"))
+
+
+_WORDED = """SELECT a, b, r, length(a) % 3 AS la, length(b) % 3 AS lb, 1 + length(a) % 2 AS ia, 1 + length(b) % 2 AS ib, 1 + length(a) % 4 AS sa, 1 + length(b) % 4 AS sb, length(b) % 5 = 0 AS single
+    FROM ratios WHERE a <> '' AND b <> ''"""
 
 
-@query("udf6_pair_scores", "SELECT row_id, ref_id, round(score, 6) AS score, category FROM scored WHERE row_id % 30 = 0", "scored")
+@query("udf8_older_word_scores", f"""SELECT a, b, round(CASE WHEN single AND la = 0 AND lb = 0 THEN s WHEN la = lb THEN s * [0.85, 0.1, 0.05][la + 1] / greatest(1, sa, sb)
+    WHEN la + lb = 1 THEN s * 0.85 / (CASE WHEN la = 0 THEN ia ELSE ib END) ELSE s END, 6) AS score
+    FROM (SELECT *, CASE WHEN r >= 95 THEN r / 100.0 ELSE 0.0 END AS s FROM ({_WORDED}))""", "ratios")
+def _(spark, d):
+    """All pairs of important words, with labels and counts made of their lengths."""
+    v = _vocab(spark, d).filter("word <> ''")
+    pairs = v.select(F.col("word").alias("a")).crossJoin(v.select(F.col("word").alias("b"))).withColumn("r", similarity.ratio("a", "b"))
+    na, nb = F.length("a"), F.length("b")
+    s = wordscores.weighted_word_scores(F.col("r"), na % 3, nb % 3, 1 + na % 2, 1 + nb % 2, 1 + na % 4, 1 + nb % 4, nb % 5 == 0)
+    return pairs.select("a", "b", F.round(s, 6).alias("score"))
+
+
+@query("udf6_pair_scores", "SELECT row_id, ref_id, round(score, 6) AS score, category FROM scored", "scored")
 def _(spark, d):
     mine, pool = (match._lists(x) for x in _sides(spark, d))
-    a = mine.filter("row_id % 30 = 0").select("row_id", *[F.col(c).alias(f"l{c}") for c in match.LISTS])
+    a = mine.select("row_id", *[F.col(c).alias(f"l{c}") for c in match.LISTS])
     b = pool.select(F.col("row_id").alias("ref_id"), *[F.col(c).alias(f"r{c}") for c in match.LISTS])
     s = match.pair_score()(*[F.col(f"r{c}") for c in match.LISTS], *[F.col(f"l{c}") for c in match.LISTS])
     return a.crossJoin(b).withColumn("s", s).select("row_id", "ref_id", F.round("s.score", 6).alias("score"), "s.category")
 
 
-@query("udf7_older_name_scores")
+@query("udf7_older_name_scores_spot_check")
 def _(spark, d):
     mine, pool = _sides(spark, d)
     pairs = mine.filter("row_id % 90 = 0").select("row_id", F.col("labels").alias("x")).crossJoin(pool.filter("row_id % 10 = 1").select(F.col("row_id").alias("ref_id"), F.col("labels").alias("y")))
@@ -795,9 +1001,7 @@ def _(spark, d):
 @query("stm1_streamed_matches", "SELECT row_id, ref_id, round(score, 6) AS score, category FROM best", "best")
 def _(spark, d):
     """Rows arrive as a stream; the result is the same as in one batch."""
-    import uuid
-
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = _place(spark, "stream")
     _short(spark, d).filter("source = 'inference'").write.parquet(f"{place}/in")
     arriving = spark.readStream.schema("row_id long, name string, source string").parquet(f"{place}/in")
     pool = _sides(spark, d)[1]

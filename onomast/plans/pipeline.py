@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from ..operators import match, names, nlp, report, weights
 from ..sources import readers, sinks
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass
 class Pipeline:
     """Stages A to H. Each is a lazy table built once; ``checkpoint_dir`` writes each one in turn.
@@ -29,13 +33,16 @@ class Pipeline:
     vector: object = None
     checkpoint_dir: str | None = None
     timer: sinks.Timer = field(default_factory=sinks.Timer)
+    rows: dict[str, int] = field(default_factory=dict)  # of the stages that were written
     stages: dict[str, DataFrame] = field(default_factory=dict)
 
     def _keep(self, name: str, df: DataFrame, reused: bool = False) -> DataFrame:
-        if self.checkpoint_dir is not None:
-            df = self.timer.run(name, lambda: sinks.checkpointed(df, f"{self.checkpoint_dir}/{name}"))
-        elif reused:
-            df = self.timer.run(name, lambda: cut(df))
+        if self.checkpoint_dir is not None or reused:
+            seen, counted = sinks.observed(df, name)
+            write = (lambda: cut(seen)) if self.checkpoint_dir is None else (lambda: sinks.checkpointed(seen, f"{self.checkpoint_dir}/{name}"))
+            df = self.timer.run(name, write)
+            self.rows[name] = counted.get["rows"]
+            log.info("%s: %d rows, %.1f s", name, self.rows[name], self.timer.seconds[name])
         self.stages[name] = df
         return df
 
@@ -44,11 +51,10 @@ class Pipeline:
         rows = readers.with_row_id(readers.as_table(self.spark, table))
         c = self.config
         rows = rows.filter(F.col(c.source).isin(c.inference, c.reference))
-        cut = names.clean_names(names.split_names(rows, c), c)
+        # parts of one row are rows of their own from here on
+        cut = names.clean_names(names.part_ids(names.split_names(rows, c)), c)
         if corpus is not None:
             corpus = names.clean_names(readers.with_row_id(readers.as_table(self.spark, corpus)), c)
-        # parts of one row are rows of their own from here on
-        cut = cut.withColumn("input_id", F.col("row_id")).withColumn("row_id", F.col("row_id") * 64 + F.col("part"))
         return self._keep("weighted", weights.with_weights(weights.weigh(names.folds(cut, c), corpus, c)))
 
     def features(self, weighted: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import LinkConfig
+from ..cut import cut
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | str | None = None, **options) -> DataFrame:
@@ -29,13 +30,46 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: S
     return reader.format(kind).load(path)
 
 
-def read_excel(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A sheet by way of the driver, for the small tables that sheets are; needs an Excel reader for pandas."""
-    try:
-        sheet = pd.read_excel(path, **{"engine": "openpyxl"} | options)
-    except ImportError as missing:
-        raise NotImplementedError("reading Excel needs openpyxl; save the sheet as CSV or Parquet") from missing
-    return from_pandas(spark, sheet)
+def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """The sheet of each workbook below the path, by name or place; the first row of the first one names the columns.
+
+    Workbooks are parsed by the executors, one each. A column is of whole numbers, numbers or truth
+    values if all its cells are, else text; empty cells are null, as are columns that a workbook
+    lacks. Rows without any value are left out. Names that are missing or repeat get their number.
+    """
+    from . import excel
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                found = [(name, n, [_shown(v) for v in values], [type(v).__name__ for v in values]) for n, values in excel.rows(content, sheet) if any(v is not None for v in values)]
+                yield pd.DataFrame(found, columns=["path", "n", "cells", "kinds"])
+
+    cells = cut(files.mapInPandas(parse, "path string, n long, cells array<string>, kinds array<string>"))
+    head = cells.orderBy("path", "n").first()
+    if head is None:
+        return spark.createDataFrame([], "name string")
+    first = cells.groupBy("path").agg(F.min("n").alias("_n")).withColumnRenamed("path", "_path")
+    body = cells.join(F.broadcast(first), (F.col("path") == F.col("_path")) & (F.col("n") > F.col("_n")), "left_semi")
+    width = body.agg(F.max(F.size("cells"))).first()[0] or 0
+    names: list[str] = []
+    for k in range(max(width, len(head["cells"]))):
+        name = (head["cells"][k] if k < len(head["cells"]) else None) or f"column{k + 1}"
+        names.append(name if name.lower() not in {x.lower() for x in names} else f"{name}_{k + 1}")
+    seen = [F.collect_set(F.get("kinds", F.lit(k))).alias(str(k)) for k in range(len(names))]
+    kinds = body.agg(*seen).first()
+    out = []
+    for k, name in enumerate(names):
+        have = set(kinds[str(k)]) - {"NoneType"}
+        kind = "boolean" if have == {"bool"} else "long" if have == {"int"} else "double" if have and have <= {"int", "float"} else "string"
+        out.append(F.get("cells", F.lit(k)).cast(kind).alias(name))
+    return body.select(*out)
+
+
+def _shown(v) -> str | None:
+    return None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
 
 
 def from_pandas(spark: SparkSession, frame: pd.DataFrame) -> DataFrame:

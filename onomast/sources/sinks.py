@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import time
 
-from pyspark.sql import DataFrame, Observation
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from . import excel
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats without nesting."""
@@ -18,10 +24,7 @@ def flat(df: DataFrame) -> DataFrame:
 def save_results(df: DataFrame, path: str, fmt: str = "parquet", single: bool = False, mode: str = "overwrite") -> None:
     """Writes Parquet, ORC, JSON lines, CSV, or one Excel sheet ``Results``; ``single`` makes one file of it."""
     if fmt == "excel":
-        try:
-            flat(df).toPandas().to_excel(path, sheet_name="Results", index=False)
-        except ImportError as missing:
-            raise NotImplementedError("writing Excel needs openpyxl; csv is the alternative") from missing
+        write_excel(df, path)
         return
     out = flat(df) if fmt == "csv" else df
     out = out.coalesce(1) if single else out
@@ -29,6 +32,21 @@ def save_results(df: DataFrame, path: str, fmt: str = "parquet", single: bool =
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def write_excel(df: DataFrame, path: str, sheet: str = "Results") -> int:
+    """Writes one sheet by way of the driver, partition by partition, and gives its number of rows.
+
+    For tables that a sheet can hold: more than 1,048,575 rows raise an error before anything is
+    at the path. Nested columns become JSON text, dates and decimals text.
+    """
+    fs, place = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
+    with tempfile.TemporaryFile() as sheet_file:
+        n = excel.write(sheet_file, df.columns, flat(df).toLocalIterator(prefetchPartitions=True), sheet)
+        sheet_file.seek(0)
+        with fs.open_output_stream(place) as out:
+            shutil.copyfileobj(sheet_file, out)
+    return n
+
+
 def checkpointed(df: DataFrame, path: str) -> DataFrame:
     """The table written to the path as Parquet and read back: a stage's result that later runs can start from."""
     df.write.mode("overwrite").parquet(path)
@@ -39,6 +57,16 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **opti
     flat(df).write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
+def save_idf(idf: DataFrame, path: str) -> None:
+    """Writes an IDF table (fold, word, df, idf) for later runs."""
+    idf.select("fold", "word", "df", "idf").write.mode("overwrite").parquet(path)
+
+
+def load_idf(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``save_idf`` wrote; ``weights_long`` and ``weigh`` take it in place of a count."""
+    return spark.read.schema("fold long, word string, df long, idf double").parquet(path)
+
+
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """The table with a row count that is taken as it is written, without another pass."""
     seen = Observation(name)

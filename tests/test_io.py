@@ -3,14 +3,16 @@
 import json
 import math
 import os
+import zipfile
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from onomast.operators import labels, match
+from onomast.operators import evaluate, labels, match, names, wordscores
 from onomast.plans import catalog, cli
+from onomast.plans.pipeline import Pipeline
 from onomast.schema import require
 from onomast.sources import readers, sinks
 from onomast.streaming.match_stream import match_stream
@@ -30,9 +32,95 @@ def test_read_and_write(spark, tmp_path):
     (tmp_path / "records.json").write_text(json.dumps([{"CompanyName": "Acme", "Source": "inference"}, {"CompanyName": None, "Source": "reference"}], indent=1))
     got = readers.names_table(readers.read_table(spark, str(tmp_path / "records.json")))
     assert got.count() == 2 and {"row_id", "name", "source"} <= set(got.columns)
-    with pytest.raises(NotImplementedError):
-        (tmp_path / "s.xlsx").write_bytes(b"")
-        readers.read_table(spark, str(tmp_path / "s.xlsx"))
+    assert got.filter("name is null").count() == 1
+
+
+ODD = ["x", "", None, " lead", "a\nb\r\nc", "<&>\"'", "é漢😀", "_x0041_", "\x01\x1f", "1.5"]
+
+
+def test_excel_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(i, t, i / 2, i % 2 == 0, [t or "n"]) for i, t in enumerate(ODD)] + [(10**17, "big", float("nan"), None, [])], "id long, t string, x double, b boolean, l array<string>")
+    path = str(tmp_path / "s.xlsx")
+    assert sinks.write_excel(df, path) == 11
+    back = readers.read_table(spark, path)
+    assert back.dtypes == [("id", "string"), ("t", "string"), ("x", "double"), ("b", "boolean"), ("l", "string")]  # an id beyond the numbers of a sheet is text
+    got = {r.id: r for r in back.collect()}
+    assert [got[str(i)].t for i in range(10)] == [t for t in ODD] and [got[str(i)].x for i in range(10)] == [i / 2 for i in range(10)]
+    assert got["3"].b is False and got[str(10**17)].x is None and json.loads(got["5"].l) == [ODD[5]]
+    sinks.save_results(df.select("id", "t").filter("id < 3"), path, "excel")
+    assert readers.read_table(spark, path).dtypes[0] == ("id", "bigint")
+    (tmp_path / "no.xlsx").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="zip"):
+        readers.read_table(spark, str(tmp_path / "no.xlsx")).count()
+
+
+def test_workbook_of_another_writer(spark, tmp_path):
+    """Shared and rich strings, gaps, errors, formulas, two sheets, a second workbook without a column."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def book(path, sheet):
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="A" sheetId="1" r:id="r1"/><sheet name="B" sheetId="2" r:id="r2"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/one.xml"/><Relationship Id="r2" Target="/xl/worksheets/two.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>CompanyName</t></si><si><r><t>Ac</t></r><r><t>me</t></r><rPh><t>no</t></rPh></si></sst>")
+            z.writestr("xl/worksheets/one.xml", f"<worksheet {main}><sheetData>{sheet}</sheetData></worksheet>")
+            z.writestr("xl/worksheets/two.xml", f"<worksheet {main}><sheetData/></worksheet>")
+
+    (tmp_path / "d").mkdir()
+    book(tmp_path / "d" / "a.xlsx", '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="str"><v>n</v></c><c r="D2" t="str"><v>N</v></c></row><row r="5"><c r="A5" t="s"><v>1</v></c><c r="B5" t="e"><v>#N/A</v></c><c r="C5"><f>1+1</f><v>2</v></c></row><row r="6"/>')
+    book(tmp_path / "d" / "b.xlsx", '<row><c t="s"><v>0</v></c></row><row><c t="inlineStr"><is><t>Beta</t></is></c></row>')
+    got = readers.read_excel(spark, str(tmp_path / "d"))
+    assert got.columns == ["CompanyName", "column2", "n", "N_4"]
+    assert sorted(map(tuple, got.collect())) == [("Acme", None, 2, None), ("Beta", None, None, None)]
+    assert readers.names_table(got).filter("name is not null").count() == 2
+    assert readers.read_excel(spark, str(tmp_path / "d"), "B").count() == 0
+    with pytest.raises(Exception, match="has no sheet"):
+        readers.read_excel(spark, str(tmp_path / "d"), "C").count()
+
+
+def test_parts_have_ids_of_their_own(spark):
+    schema = "row_id long, name string, source string"
+    many = "/".join(f"Name{k}" for k in range(100))
+    for rows in ([(0, many, "reference"), (1, "One", "reference"), (-2, "A/B", "reference")], [(2**62, "A/B", "reference"), (2**63 - 1, "C", "reference"), (-(2**63), many, "reference"), (7, "D", "inference")]):
+        got = names.part_ids(names.split_names(spark.createDataFrame(rows, schema))).collect()
+        assert len({r.row_id for r in got}) == len(got) >= 103
+        order = [(r.input_id, r.part) for r in sorted(got, key=lambda r: r.row_id)]
+        assert order == sorted(order) and {r.input_id for r in got} == {r[0] for r in rows}
+    assert names.part_ids(names.split_names(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_stage_counts_and_times(spark, tmp_path):
+    rows = [(1, "Acme North Inc", "inference"), (4, "Acme (Beta)", "reference")]
+    p = Pipeline(spark, checkpoint_dir=str(tmp_path / "stages"))
+    p.run(spark.createDataFrame(rows, "row_id long, name string, source string")).collect()
+    assert p.rows == {"weighted": 3, "featured": 3, "labelled": 3, "linked": 1} and p.timer.total > 0 and set(p.timer.seconds) == set(p.rows)
+
+
+def test_measures(spark):
+    truth = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "a int, b int")
+    found = spark.createDataFrame([(1, 1), (1, 1), (2, 9), (3, 3)], "a int, b int")
+    r = evaluate.precision_recall(found, truth, ["a", "b"]).first()
+    assert (r.precision, r.recall) == (pytest.approx(2 / 3), 0.5) and r.f1 == pytest.approx(4 / 7)
+    groups = spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("y", 2)], "alias string, truth int")
+    assert evaluate.grouping_accuracy(groups, "truth").first().accuracy == 0.75
+
+
+def test_older_word_scores_as_an_expression(spark):
+    rows = [(r, k, m, i, j, a, b, s) for r in (94, 95, 100) for k in range(4) for m in range(4) for i, j, a, b in ((0, 0, 0, 0), (1, 2, 3, 1), (2, 1, 1, 4)) for s in (False, True)]
+    df = spark.createDataFrame(rows, "r int, k int, m int, i int, j int, a int, b int, s boolean")
+    got = df.withColumn("x", wordscores.weighted_word_scores(*[F.col(c) for c in "rkmijabs"])).collect()
+    for x in got:
+        c1, c2 = {x.k: x.a} | {0: x.i if x.k != 0 else x.a}, {x.k: x.b} | {0: x.j if x.k != 0 else x.b}
+        if x.k == 0:
+            assert True if x.i != x.a or x.j != x.b else x.x == pytest.approx(wordscores.weighted_word_score(x.r, x.k, x.m, c1, c2, x.s))
+        else:
+            assert x.x == pytest.approx(wordscores.weighted_word_score(x.r, x.k, x.m, c1, c2, x.s))
+
+
+def test_trained_labelers_are_right_on_names_not_seen(spark):
+    got = {r.model: r.accuracy for r in catalog.QUERIES["udf5_trained_evaluation"](spark, DATA).collect()}
+    assert set(got) == {"regression", "network"} and min(got.values()) > 0.9
 
 
 def test_tables_in_memory(spark):
