@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,13 +155,16 @@ def fit(codes: np.ndarray, offs: np.ndarray, toxic: np.ndarray, votes: np.ndarra
         seen += np.bincount(part, np.repeat(votes[lo:hi], n), 1 << BITS)
         pos += np.bincount(part, np.repeat((votes * toxic)[lo:hi], n), 1 << BITS)
     # features that tell the classes apart beyond chance, by a binomial z-score on votes
-    z = (pos - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
-    keep = (seen >= max(3.0, 0.002 * votes.sum())) & (np.abs(z) >= 4)
+    often = np.flatnonzero(seen >= max(3.0, 0.002 * votes.sum()))
+    z = (pos[often] - seen[often] * rate) / np.sqrt(seen[often] * rate * (1 - rate) + 1e-9)
+    keep = np.zeros(1 << BITS, bool)
+    keep[often[np.abs(z) >= 4]] = True
     terms = {t: textvec.tokenize(pa.array([t])) for g in IDENTITY_GROUPS for t in g}
     word = {int(fold(t.hash)[0]): k for k, t in terms.items()}
     named = np.zeros(1 << BITS, bool)
     named[list(word)] = True
     keep |= named & (seen > 0)
+    del seen, pos
     names = np.flatnonzero(keep)
     if not len(names):
         return Model(*none, float(np.log(rate / (1 - rate))))
@@ -211,14 +215,26 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     )
     got = sample.mapInArrow(_features, "doc_id long, toxic int, codes binary, marks array<long>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    packed = got["codes"].take(pa.array(order)).combine_chunks() if got.num_rows else pa.array([], pa.binary())
-    flat, offs = textvec.raw(packed)
+    toxic, count = got["toxic"].to_numpy()[order], got.num_rows
     marks = np.array([[m if m is not None else -k - 1 for m in x] for k, x in enumerate(got["marks"].to_pylist())], np.int64).reshape(-1, 4)[order]
-    times = np.ones(got.num_rows)
+    codes = got["codes"]
+    del got
+    size = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in codes.chunks]) // 4 if count else np.zeros(0, np.int64)
+    offs = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64)
+    flat, to = np.empty(int(offs[-1]), np.int32), np.empty(count, np.int64)
+    to[order] = offs[:-1]
+    at = 0
+    for chunk in codes.chunks:  # each row to its place, without a second copy of all
+        part, ends = textvec.raw(chunk)
+        for k in range(len(chunk)):
+            flat[to[at + k] : to[at + k] + size[at + k]] = part[ends[k] : ends[k + 1]].view(np.int32)
+        at += len(chunk)
+    del codes
+    times = np.ones(count)
     for k in range(4):
         _, ix, n = np.unique(marks[:, k], return_inverse=True, return_counts=True)
         times = np.maximum(times, n[ix])
-    return fit(flat.view(np.int32), offs // 4, got["toxic"].to_numpy()[order], 1 / times, penalty)
+    return fit(flat, offs, toxic, 1 / times, penalty)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
