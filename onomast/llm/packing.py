@@ -7,7 +7,8 @@ large the corpus. Lengths are taken from the longest down. For the gap that a le
 index of single, pair and triple sums of the available lengths is asked for an exact complement,
 which is consumed as often as the counts allow; only if there is none does the longest length
 that fits go in, and the rest of the gap is tried again. The pieces of a length are then numbered
-and looked up in the plan. The numbering is salted, so no length is counted in one task.
+and looked up in the plan. The numbering is salted, a salt for each million pieces, so no length is
+counted in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY = 8192
-SALTS = 64
+SALTS = 64  # at least
+PER_SALT = 1_000_000
 
 
 class Sums:
@@ -144,7 +146,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``(doc_id, piece, n_tokens, sequence_id, position)``: where each piece of each text goes.
+    """``(doc_id, piece, n_tokens, sequence_id, position)``: where each piece of each text goes; doc_id is a whole number.
 
     Piece k starts at token k * capacity of its text. Every token of every text is in exactly one
     sequence and none has more than ``capacity``. Empty texts are one token, their end mark; null
@@ -152,9 +154,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     packed as often. Pieces of one length are numbered by salt, doc_id, text hash and piece. An
     empty table gives an empty result; other columns are ignored.
     """
-    cut = staged(
-        pieces(docs, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(SALTS)).cast("int")), "pieces"
-    )
+    cut = staged(pieces(docs, capacity), "pieces")
+    salts = max(SALTS, -(-cut.count() // PER_SALT))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(salts)).cast("int"))
     per = staged(cut.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")), "lengths")
     total = per.groupBy("n_tokens").agg(F.sum("n").alias("n")).toArrow()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)

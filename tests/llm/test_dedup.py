@@ -413,6 +413,13 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_more_salts_pack_as_well(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_SALT", 3)
+    r = random.Random(7)
+    rows = [(i, "x" * r.randint(0, 70)) for i in range(300)]
+    check_packing(rows, packing.pack(docs(spark, rows), 64).collect(), 64)
+
+
 def test_exact_complements():
     r = np.random.default_rng(2)
     for _ in range(60):
