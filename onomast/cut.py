@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_mine = threading.local()  # tables of the thread's open scratch blocks
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,5 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The table written once and read back: it isn't computed again, survives lost executors, and plans on it stay small."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if getattr(_mine, "paths", None) is not None:
+        _mine.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the tables that ``cut`` wrote within: for work whose results are then collected or written."""
+    before = getattr(_mine, "paths", None)
+    _mine.paths = []
+    try:
+        yield
+    finally:
+        for path in _mine.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _mine.paths = before

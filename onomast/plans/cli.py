@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LinkConfig, load_config
+from ..cut import scratch
 from ..operators import labels as lab
 from ..operators import match, names, nlp, weights
 from ..sources import readers, sinks
@@ -45,6 +46,11 @@ def checked(args: argparse.Namespace) -> argparse.Namespace:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = checked(parser().parse_args(argv))
     spark = spark or SparkSession.builder.appName("onomast").getOrCreate()
+    with scratch(spark):  # the result is a file by then
+        _stage(args, spark)
+
+
+def _stage(args: argparse.Namespace, spark: SparkSession) -> None:
     config = load_config(args.config) if args.config else LinkConfig()
     table = readers.with_row_id(readers.parse_nested(readers.read_table(spark, args.input)))
     labeler = lab.model_labeler(lab.load_labeler(args.model)) if args.model and args.mode == "test" and args.stage != "train" else lab.rule_labeler()

@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,46 @@ def test_stage_counts_and_times(spark, tmp_path):
     assert p.rows == {"weighted": 3, "featured": 3, "labelled": 3, "linked": 1} and p.timer.total > 0 and set(p.timer.seconds) == set(p.rows)
 
 
+def test_database_round_trip(spark):
+    """A database in memory, written and read in ranges of its key."""
+    url = "jdbc:derby:memory:onomast;create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    df = spark.createDataFrame([(i, f"n{i}" if i % 7 else None) for i in range(50)], "id long, name string")
+    sinks.write_jdbc(df, url, "names", "overwrite", driver=driver)
+    sinks.write_jdbc(df.withColumn("id", F.col("id") + 50), url, "names", driver=driver)
+    whole = readers.read_jdbc(spark, url, "names", driver=driver)
+    parts = readers.read_jdbc(spark, url, "names", "id", (0, 100), 4, driver=driver)
+    assert parts.rdd.getNumPartitions() == 4 and whole.count() == 100
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect())) and whole.filter("name is null").count() == 16
+
+
+def test_command_line_and_stream_leave_nothing_behind(spark, tmp_path):
+    from onomast.cut import cut, scratch, shared_dir
+
+    def left():
+        return {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("cut-")}
+
+    before = left()
+    with scratch(spark):
+        assert cut(spark.range(3)).count() == 3 and len(left() - before) == 1
+    assert left() == before
+    test_stream(spark, tmp_path)
+    test_command_line(spark, tmp_path)
+    assert left() == before
+    assert cut(spark.range(3)).count() == 3 and len(left() - before) == 1
+
+
+def test_providers_of_tags_and_vectors(spark):
+    """A tagger and a vector function of one's own, asked once for each distinct word."""
+    from onomast.operators import nlp
+
+    df = spark.createDataFrame([(1, "Acme Works"), (2, "Works Acme Corp."), (3, None)], "row_id long, name string")
+    table = {"Acme": "PROPN", "Works": "VERB"}
+    out = nlp.nlp_features(df, tagger=lambda w: [(w, table.get(w, "X"), False)], vector=lambda w: np.full(3, len(w), np.float32)).collect()
+    got = {r.row_id: (r.pos, [v[0] for v in r.word_vecs or []]) for r in out}
+    assert got == {1: (["PROPN", "VERB"], [4, 5]), 2: (["VERB", "PROPN", "NOUN"], [5, 4, 5]), 3: (None, [])}
+
+
 def test_measures(spark):
     truth = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "a int, b int")
     found = spark.createDataFrame([(1, 1), (1, 1), (2, 9), (3, 3)], "a int, b int")
