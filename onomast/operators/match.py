@@ -10,6 +10,9 @@ block, and there the score is that of the important words alone.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -50,9 +53,9 @@ class Scorer:
         if not n:
             return 0.0
         w = [1 / (i + 1) ** 2 for i in range(n)]
-        whole = sum(w)
+        whole = reduce(add, w)  # plain sums; Python's own sum compensates for rounding
         pad = lambda x: [*x, *[""] * (n - len(x))]
-        return sum(self.word(x, y) * (self.c.important_weight / whole * k) / 100 for x, y, k in zip(pad(a), pad(b), w))
+        return reduce(add, (self.word(x, y) * (self.c.important_weight / whole * k) / 100 for x, y, k in zip(pad(a), pad(b), w)), 0.0)
 
     def unordered(self, a: list[str], b: list[str], factor: float) -> float:
         scored = []
@@ -131,7 +134,7 @@ class Batch:
         (a, at), (b, bt) = self.lists[0], self.lists[3]
         na, nb = np.diff(at), np.diff(bt)
         n = np.maximum(na, nb)
-        whole = np.concatenate([[1.0], np.cumsum([1 / (k + 1) ** 2 for k in range(int(n.max(initial=0)))])])
+        whole = np.array([1.0, *accumulate(1 / (k + 1) ** 2 for k in range(int(n.max(initial=0))))])
         total = np.zeros(self.rows)
         for p in range(int(n.max(initial=0))):
             r = np.flatnonzero(n > p)
@@ -156,7 +159,7 @@ class Batch:
         right = y[np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(many[xr])])[:-1], many[xr]) + first[row]]
         # words whose lengths alone keep the ratio below the least aren't compared
         la, lb = self.size[left], self.size[right]
-        near = np.rint(200 * np.minimum(la, lb) / np.maximum(la + lb, 1)) >= self.c.unordered_least
+        near = (left == right) | (np.rint(200 * np.minimum(la, lb) / np.maximum(la + lb, 1)) >= self.c.unordered_least)
         row, left, right = row[near], left[near], right[near]
         s = self.ratio(left, right)
         ok = np.flatnonzero(s >= self.c.unordered_least)

@@ -138,7 +138,7 @@ def test_ratio_tables(a, b):
     assert got.tolist() == [sim.ratios([x] * len(b), b).tolist() for x in a]
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(*[st.lists(st.sampled_from(["ACME", "ACMEE", "ELECTRICALS", "ELECTRIKALS", "ABCDEFGHIJKLMNOPQRSTU", "ABCDEFGHIJKLMNOPQRSTV", "", "X" * 80]), max_size=4)] * 6), max_size=12), st.booleans())
 def test_batches_score_as_one_by_one(rows, ieee):
     config = LinkConfig(compat="ieee" if ieee else "tolerant")
