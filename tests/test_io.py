@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from onomast.cut import cut, scratch, shared_dir
 from onomast.operators import evaluate, labels, match, names, wordscores
 from onomast.plans import catalog, cli
 from onomast.plans.pipeline import Pipeline
@@ -111,20 +112,12 @@ def test_database_round_trip(spark):
     assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect())) and whole.filter("name is null").count() == 16
 
 
-def test_command_line_and_stream_leave_nothing_behind(spark, tmp_path):
-    from onomast.cut import cut, scratch, shared_dir
-
-    def left():
-        return {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("cut-")}
-
-    before = left()
+def test_scratch_tables_are_deleted(spark):
+    before = scratch_tables(spark)
     with scratch(spark):
-        assert cut(spark.range(3)).count() == 3 and len(left() - before) == 1
-    assert left() == before
-    test_stream(spark, tmp_path)
-    test_command_line(spark, tmp_path)
-    assert left() == before
-    assert cut(spark.range(3)).count() == 3 and len(left() - before) == 1
+        assert cut(spark.range(3)).count() == 3 and len(scratch_tables(spark) - before) == 1
+    assert scratch_tables(spark) == before
+    assert cut(spark.range(3)).count() == 3 and len(scratch_tables(spark) - before) == 1
 
 
 def test_providers_of_tags_and_vectors(spark):
@@ -178,7 +171,19 @@ def test_literals_are_only_data(spark):
     assert [r.words for r in readers.parse_nested(df).collect()] == [["A", "B"], None, None]
 
 
-def test_command_line(spark, tmp_path):
+def scratch_tables(spark):
+    return {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("cut-")}
+
+
+@pytest.fixture
+def nothing_left(spark):
+    """What is tested leaves no scratch table behind."""
+    before = scratch_tables(spark)
+    yield
+    assert scratch_tables(spark) == before
+
+
+def test_command_line(spark, tmp_path, nothing_left):
     rows = [{"row_id": i, "name": n, "source": s} for i, (n, s) in enumerate([("Acme North Inc", "inference"), ("Acme North Co", "reference"), ("Zeta", "reference")])]
     (tmp_path / "in.json").write_text(json.dumps(rows))
     cli.main(["run", "--i", str(tmp_path / "in.json"), "--o", str(tmp_path / "out"), "--format", "parquet"], spark)
@@ -187,7 +192,7 @@ def test_command_line(spark, tmp_path):
         cli.main(["run", "--i", "/none", "--o", str(tmp_path / "x")], spark)
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, tmp_path, nothing_left):
     pool = labels.label_rows(spark.createDataFrame([(9, "Acme Inc", "reference", ["Acme", "Inc"])], "row_id long, name string, source string, words array<string>"), labels.rule_labeler())
     spark.createDataFrame([(1, "Acme Co", "inference")], "row_id long, name string, source string").write.parquet(str(tmp_path / "in"))
     seen = []
