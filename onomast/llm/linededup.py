@@ -18,6 +18,8 @@ is gone or no earlier holder is left. Every line of a common block is in a run w
 no later pair could delete more. Usually the first holders delete nearly all and pairs are fewer
 than lines; a run that no holder aligns costs a pair for each one.
 
+Texts that lose nothing aren't shuffled: only those that may lose lines are joined with what they lose.
+
 Lines are equal when their 64-bit hashes are. A wrong deletion takes a collision between the lines
 of one pair of aligned documents, not of the corpus: below 1e-15 for a pair of a hundred lines each.
 """
@@ -37,6 +39,8 @@ RUN_WORDS = 10
 BLOCK_WORDS = 10
 RARE_HOLDERS = 64
 GROWTH = 8
+FLAGS = 16
+WORDS = 1 << 20
 SLICE = 512  # rows whose lines are Python objects at a time
 
 
@@ -249,6 +253,27 @@ def deletions(docs: DataFrame) -> DataFrame:
     return out
 
 
+def parted(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: all rows that ``gone`` has, with some others, and rows that it hasn't.
+
+    Told apart without moving a text, by ``FLAGS`` flags a row of ``gone`` (fewer beyond ``WORDS`` words of 64), of
+    which its hash sets one: a row whose flag another one set is in the first part, which is then joined exactly.
+    """
+    words = 1 << min(WORDS.bit_length() - 1, (gone.count() * FLAGS // 64).bit_length())
+    word, flags = fresh(docs, "_word"), fresh(docs, "_flags")
+
+    def place(key):
+        return key.bitwiseAND(F.lit(words - 1)), F.shiftrightunsigned(key, 58).cast("int")
+
+    at, bit = place(F.xxhash64("doc_id", "text_hash"))
+    table = gone.select(at.alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias(flags)).groupBy(word).agg(F.bit_or(flags).alias(flags))
+    at, bit = place(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    marked = docs.join(F.broadcast(table), at == F.col(word), "left")
+    set_ = F.coalesce(F.call_function("shiftrightunsigned", F.col(flags), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.filter(set_).select(*own), marked.filter(~set_).select(*own)
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents without the blocks of lines that an earlier document has.
 
@@ -261,12 +286,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own = docs.columns
     i, h, g = (fresh(docs, c) for c in ("_id", "_hash", "_gone"))
-    gone = deletions(docs).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("gone").alias(g))
-    joined = docs.join(gone, (docs["doc_id"] == F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
+    lost = deletions(docs)
+    some, rest = parted(docs, lost)
+    gone = lost.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("gone").alias(g))
+    joined = some.join(gone, (F.col("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
     left = F.array_join(F.zip_with(_lines(F.col("text")), F.col(g), lambda x, lost: F.when(~lost, x)), "\n")
     out = joined.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(left))
     out = out.filter(F.col(g).isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in own:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*[F.col(f"`{c}`") for c in own])
+    return out.select(*[F.col(f"`{c}`") for c in own]).union(rest)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from onomast.llm import decontam, linededup, neardup, packing, textvec
+from onomast.llm.common import staged
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -182,6 +183,34 @@ def test_line_dedup_of_very_many_lines(spark):
     assert got == {1: "\n".join(lines), 2: "new"} and time.perf_counter() - began < 60
 
 
+def shuffle_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_texts_that_lose_nothing_are_not_shuffled(spark, monkeypatch, words):
+    """A few copies among large texts: the join with what they lose moves them alone, or more where flags are few; the result is the same."""
+    monkeypatch.setattr(linededup, "WORDS", words, raising=False)
+    rows = [(k, prose(7000 + k, 600)) for k in range(200)]
+    rows += [(1000 + k, rows[k][1] + "\nsome words of its own") for k in range(4)] + [(None, rows[0][1]), (2000, None)]
+    df = docs(spark, rows).repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linededup.line_dedup(staged(df, "documents"))
+        before = shuffle_bytes(spark)
+        kept = {(r.doc_id, r.text) for r in got.collect()}
+        moved = shuffle_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert kept == {(i, "some words of its own" if 1000 <= (i or 0) < 2000 else t) for i, t in rows}
+    if words > 1:
+        assert moved < 0.1 * sum(len(t) for _, t in rows if t)
+
+
 # --- near-dedup
 
 
