@@ -2,19 +2,19 @@
 
 Some vectors, those of the least hashed id, are pivots: ``ROOT`` times the square root of the number
 of vectors. A vector is represented by its nearest pivots in order and is posted in the inverted
-files of each of them: ``LISTS`` pivots at 50,000 vectors, growing with their eighth root. Every vector
-is a query: within each inverted file it shares, candidates are ranked by the footrule distance of
-the two orders (a missing pivot counts as one place after the last), the best ``SHARE`` of them are
+files of each of them: ``LISTS`` pivots at 50,000 vectors, growing with their eighth root. All vectors
+are indexed; queries are those whose id is divisible by ``every``, all of them at 1: within each inverted
+file that a query shares, candidates are ranked by the footrule distance of the two orders (a missing pivot counts as one place after the last), the best ``SHARE`` of them are
 reranked by Euclidean distance, and the k nearest over all files are kept. Nothing else bounds the
 candidates.
 
 With weights w = lists - place, the footrule distance is a constant less twice the sum of
 min(w, w') over the pivots of both, which is gathered for all pairs of a file at once from one byte a
-pivot. An inverted file is cut into blocks of about ``BLOCK`` rows and block pairs are spread over
-tasks, so no file must fit one executor; files are about LISTS / ROOT times the square root of the rows, so
-that is rare.
+pivot. The queries and the rows of an inverted file are each cut into blocks of about ``BLOCK`` and block
+pairs are spread over tasks, so no file must fit one executor; files are about LISTS / ROOT times the square
+root of the rows, so that is rare.
 
-Work is N * N * lists ** 2 / pivots pairs, N ** 1.75, and each vector is shuffled ``lists`` times. Vectors
+Work is N * N / every * lists ** 2 / pivots pairs, N ** 1.75, and each vector is shuffled ``lists`` times. Vectors
 spread evenly over a sphere in many dimensions allow no much better: their neighbours are hardly
 nearer than the rest, so orders of pivots say little (figures in the README). Clustered vectors do
 with fewer lists.
@@ -34,6 +34,7 @@ LISTS = 20
 SHARE = 0.9
 BLOCK = 8192
 NEIGHBOURS = 10
+EVERY = 50  # of the query op8
 
 
 def sizes(count: int) -> tuple[int, int]:
@@ -97,7 +98,9 @@ def footrule(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def _nearest(ids, x, order, other_ids, other_x, other_order, k, share):
     """(query id, neighbour id, distance) of the local k nearest after ranking by footrule; ties go to the lesser id."""
-    out = []
+    out = [(ids[:0], other_ids[:0], np.zeros(0))]
+    if not len(ids) or not len(other_ids):
+        return out[0]
     square, own = (other_x**2).sum(1), (x**2).sum(1)
     keep = max(min(len(other_ids), k + 1), int(np.ceil(share * len(other_ids))))
     slack = 1e-5 * (square.max() + own) if x.dtype == np.float32 else 1e-12 * (square.max() + own)
@@ -124,9 +127,10 @@ def _nearest(ids, x, order, other_ids, other_x, other_order, k, share):
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int | None = None, lists: int | None = None, share: float = SHARE) -> DataFrame:
-    """``(vec_id, rank, neighbour_id, distance)``: the k nearest others of each vector found; vec_id is a whole number.
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int | None = None, lists: int | None = None, share: float = SHARE, every: int = 1) -> DataFrame:
+    """``(vec_id, rank, neighbour_id, distance)``: the k nearest others found of each vector whose id is divisible by ``every``.
 
+    vec_id is a whole number. Neighbours are searched among all vectors, whatever their ids.
     Ties go to the lesser id. Rows without an id or with a null, empty or not finite vector, or
     one of a length other than the most common, take no part; rows that repeat an id count once,
     with the least vector. Equal vectors are neighbours at distance 0. An empty table gives an
@@ -149,7 +153,7 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int | None = Non
     shared = spark.sparkContext.broadcast(wide(np.array(first["embedding"].to_pylist(), np.float32)))
     found = first.num_rows
     per = min(per, found)
-    blocks = max(1, -(-count * per // (found * BLOCK)))
+    blocks, query_blocks = (max(1, -(-count * per // (found * BLOCK * n))) for n in (1, every))
 
     def post(batches):
         for batch in batches:
@@ -162,26 +166,26 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int | None = Non
                 names=["vec_id", "embedding", "ord"],
             )
 
-    posted = base.mapInArrow(post, "vec_id long, embedding array<float>, ord array<int>").withColumn(
-        "block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
+    h = F.xxhash64("vec_id", F.lit(3))
+    posted = base.mapInArrow(post, "vec_id long, embedding array<float>, ord array<int>").select(
+        "*", (F.col("vec_id") % every == 0).alias("query"), F.pmod(h, F.lit(query_blocks)).cast("int").alias("mine"), F.pmod(h, F.lit(blocks)).cast("int").alias("block")
     )
-    pairs = posted.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
-        "vec_id", "embedding", "ord", "block", F.explode("ord").alias("file"),
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    # a row goes once to each pair of a block of queries and one of rows that it is in
+    held = F.transform(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    asked = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j")))
+    pairs = posted.select("*", F.explode(F.when(F.col("query"), F.array_union(held, asked)).otherwise(held)).alias("at")).select(
+        "vec_id", "embedding", "ord", F.explode("ord").alias("file"), "at.i", "at.j",
+        (F.col("query") & (F.col("mine") == F.col("at.i"))).alias("asks"), (F.col("block") == F.col("at.j")).alias("holds"),
     )
 
     def search(table: pa.Table) -> pa.Table:
         if isinstance(table["embedding"], pa.ChunkedArray):
             table = table.combine_chunks()
-        ids, block = table["vec_id"].to_numpy(), table["block"].to_numpy()
+        ids = table["vec_id"].to_numpy()
         x = wide(table["embedding"].combine_chunks().values.to_numpy().reshape(len(ids), -1))
         order = table["ord"].combine_chunks().values.to_numpy().reshape(len(ids), -1)
-        here, there = block == block.min(), block == block.max()
-        pairs = [(here, there)] if block.min() == table["j"][0].as_py() else [(here, there), (there, here)]
-        if table["i"][0].as_py() != table["j"][0].as_py() and block.min() == block.max():
-            pairs = []  # the other block has no row in this file
-        cols = [_nearest(ids[a], x[a], order[a], ids[b], x[b], order[b], k, share) for a, b in pairs]
-        q, n, d = (np.concatenate(c) for c in zip(*cols)) if cols else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        asks, holds = (table[c].to_numpy(zero_copy_only=False) for c in ("asks", "holds"))
+        q, n, d = _nearest(ids[asks], x[asks], order[asks], ids[holds], x[holds], order[holds], k, share)
         return pa.table({"vec_id": q, "neighbour_id": n, "distance": d})
 
     local = pairs.groupBy("file", "i", "j").applyInArrow(search, "vec_id long, neighbour_id long, distance double")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from onomast.llm import ann, htmlx, langid, resample, textvec, toxicity, warc
+from onomast.llm import ann, htmlx, langid, queries, resample, textvec, toxicity, warc
 from onomast.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -321,6 +321,28 @@ def test_blocks_agree(spark, monkeypatch):
     assert sorted(ann.neighbours(vectors(spark, x), share=1.0).collect()) == whole
 
 
+@pytest.mark.parametrize("block", [8192, 40])
+def test_queries_of_some_ids_find_what_they_find_among_all(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    df = vectors(spark, np.random.default_rng(4).normal(size=(300, 8)).astype(np.float32), range(-30, 270))
+    some = sorted(ann.neighbours(df, every=3).collect())
+    assert some == sorted(r for r in ann.neighbours(df).collect() if r.vec_id % 3 == 0) and len(some) == 1000
+    assert ann.neighbours(df.filter("vec_id % 3 <> 0"), every=3).count() == 0
+
+
+def test_op8_asks_for_every_fiftieth_id_and_searches_all(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(3000, 16)).astype(np.float32)
+    vectors(spark, x).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got: dict = {}
+    for r in queries.op8_permutation_index(spark, str(tmp_path)).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    assert set(got) == set(range(0, 3000, 50)) and all(len(v) == 10 for v in got.values())
+    d = ((x[::50, None].astype(float) - x[None]) ** 2).sum(-1)
+    d[np.arange(60), np.arange(0, 3000, 50)] = np.inf
+    want = np.argsort(d, axis=1)[:, :10]
+    assert sum(len(got[50 * k] & set(w)) for k, w in enumerate(want.tolist())) >= 0.9 * 600
+
+
 def test_neighbour_edges(spark):
     rows = [(1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (None, [1.0, 1.0]), (8, [5.0, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "2 as block", "3 as n")
