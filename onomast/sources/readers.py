@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,8 @@ from pyspark.sql.types import StructType
 from ..config import LinkConfig
 from ..cut import cut
 
+EXCEL_ROWS = 8192
+
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | str | None = None, **options) -> DataFrame:
     """A table from Parquet, ORC, CSV, JSON lines, a JSON array (``json_records``), text or Excel, by format or ending."""
@@ -33,26 +38,36 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: S
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """The sheet of each workbook below the path, by name or place; the first row of the first one names the columns.
 
-    Workbooks are parsed by the executors, one each. A column is of whole numbers, numbers or truth
-    values if all its cells are, else text; empty cells are null, as are columns that a workbook
-    lacks. Rows without any value are left out. Names that are missing or repeat get their number.
+    Workbooks are parsed by the executors, each sheet by one task; sheets that continue the asked one
+    are read with it. A column is of whole numbers, numbers or truth values if all its cells are, else
+    text; empty cells are null, as are columns that a workbook lacks. Rows without any value are left
+    out. Names that are missing or repeat get their number.
     """
     from . import excel
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def parse(frames):
+    def count(frames):
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                found = [(name, n, [_shown(v) for v in values], [type(v).__name__ for v in values]) for n, values in excel.rows(content, sheet) if any(v is not None for v in values)]
-                yield pd.DataFrame(found, columns=["path", "n", "cells", "kinds"])
+            yield pd.DataFrame({"n": [excel.sheets(content, sheet) for content in frame["content"]]})
+
+    def parse(part):
+        def run(frames):
+            for frame in frames:
+                for name, content in zip(frame["path"], frame["content"]):
+                    filled = ((name, part, n, [_shown(v) for v in values], [type(v).__name__ for v in values]) for n, values in excel.rows(content, sheet, part) if any(v is not None for v in values))
+                    while found := list(itertools.islice(filled, EXCEL_ROWS)):
+                        yield pd.DataFrame(found, columns=["path", "part", "n", "cells", "kinds"])
+
+        return files.mapInPandas(run, "path string, part int, n long, cells array<string>, kinds array<string>")
 
-    cells = cut(files.mapInPandas(parse, "path string, n long, cells array<string>, kinds array<string>"))
-    head = cells.orderBy("path", "n").first()
+    most = files.mapInPandas(count, "n int").agg(F.max("n")).first()[0] or 1
+    cells = cut(reduce(DataFrame.union, [parse(k) for k in range(most)]))
+    head = cells.orderBy("path", "part", "n").first()
     if head is None:
         return spark.createDataFrame([], "name string")
-    first = cells.groupBy("path").agg(F.min("n").alias("_n")).withColumnRenamed("path", "_path")
-    body = cells.join(F.broadcast(first), (F.col("path") == F.col("_path")) & (F.col("n") > F.col("_n")), "left_semi")
+    first = cells.groupBy("path", "part").agg(F.min("n").alias("_n")).withColumnsRenamed({"path": "_path", "part": "_part"})
+    body = cells.join(F.broadcast(first), (F.col("path") == F.col("_path")) & (F.col("part") == F.col("_part")) & (F.col("n") > F.col("_n")), "left_semi")
     width = body.agg(F.max(F.size("cells"))).first()[0] or 0
     names: list[str] = []
     for k in range(max(width, len(head["cells"]))):

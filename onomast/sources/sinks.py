@@ -22,7 +22,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def save_results(df: DataFrame, path: str, fmt: str = "parquet", single: bool = False, mode: str = "overwrite") -> None:
-    """Writes Parquet, ORC, JSON lines, CSV, or one Excel sheet ``Results``; ``single`` makes one file of it."""
+    """Writes Parquet, ORC, JSON lines, CSV, or an Excel workbook; ``single`` makes one file of it."""
     if fmt == "excel":
         write_excel(df, path)
         return
@@ -33,10 +33,11 @@ def save_results(df: DataFrame, path: str, fmt: str = "parquet", single: bool =
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "Results") -> int:
-    """Writes one sheet by way of the driver, partition by partition, and gives its number of rows.
+    """Writes one workbook by way of the driver, partition by partition, and gives its number of rows.
 
-    For tables that a sheet can hold: more than 1,048,575 rows raise an error before anything is
-    at the path. Nested columns become JSON text, dates and decimals text.
+    A sheet holds 1,048,575 rows; further ones go on in sheets ``Results (continued 2)`` and so on, and
+    ``read_excel`` reads them as one table. Nothing is at the path before all is written. Nested columns
+    become JSON text, dates and decimals text.
     """
     fs, place = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
     with tempfile.TemporaryFile() as sheet_file:

@@ -81,6 +81,20 @@ def test_workbook_of_another_writer(spark, tmp_path):
         readers.read_excel(spark, str(tmp_path / "d"), "C").count()
 
 
+def test_excel_beyond_one_sheet(spark, tmp_path, monkeypatch):
+    """A table of more rows than a sheet holds goes on in further sheets and is read back whole."""
+    monkeypatch.setattr(sinks.excel, "MOST_ROWS", 4)
+    for n in (3, 4, 9, 10):
+        df = spark.createDataFrame([(i, None if i % 3 == 0 else f"n{i}") for i in range(n)], "id long, t string")
+        path = str(tmp_path / f"s{n}.xlsx")
+        assert sinks.write_excel(df, path) == n
+        with zipfile.ZipFile(path) as z:
+            assert sum(x.startswith("xl/worksheets/") for x in z.namelist()) == math.ceil(n / 3)
+        assert sorted(map(tuple, readers.read_table(spark, path).collect())) == sorted(map(tuple, df.collect()))
+    assert readers.read_excel(spark, str(tmp_path)).count() == 3 + 4 + 9 + 10
+    assert readers.read_excel(spark, path, "Results (continued 2)").count() == 3
+
+
 def test_parts_have_ids_of_their_own(spark):
     schema = "row_id long, name string, source string"
     many = "/".join(f"Name{k}" for k in range(100))
