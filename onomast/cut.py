@@ -8,6 +8,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 _mine = threading.local()  # tables of the thread's open scratch blocks
@@ -30,8 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     if getattr(_mine, "paths", None) is not None:
         _mine.paths.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # a column of no type holds only nulls, which files can't
+    void = [c for c, kind in df.dtypes if kind == "void"]
+    kept = df.drop(*void)
+    kept.write.parquet(path)
+    back = df.sparkSession.read.schema(kept.schema).parquet(path)
+    return back.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns]) if void else back
 
 
 def tasks(spark: SparkSession) -> int:

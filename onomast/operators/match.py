@@ -254,15 +254,29 @@ def _own_signature() -> Column:
     return F.when(F.size("labels") > 0, signature(*[arrays.words_with_label(F.col("labels"), k) for k in range(3)]))
 
 
+def signed(rows: DataFrame) -> DataFrame:
+    """Labelled rows with their signature, written once: labels and signatures cost more than all that reads them."""
+    return cut(rows.withColumn("sig", _own_signature()))
+
+
+def _join_key() -> Column:
+    """The signature; rows without one have keys of their own, so that no task gets all of them."""
+    return F.coalesce("sig", F.xxhash64("row_id").cast("string"))
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """(sig, imp, sub, gen, row_id, name): distinct word lists of labelled rows, with the least row_id and its name.
+    """(sig, imp, sub, gen, row_id, name, longest, longest_id): distinct word lists of labelled rows, with the least row_id
+    and its name, and the longest name with its row_id, the least one among equally long names.
 
-    Rows without any token are left out.
+    Rows without any token are left out. ``rows`` may have their signatures already.
     """
-    return (
-        _lists(rows.filter("size(labels) > 0").select("row_id", "name", "labels")).groupBy(*LISTS)
-        .agg(F.min(F.struct("row_id", "name")).alias("_r")).select(signature(*[F.col(c) for c in LISTS]).alias("sig"), *LISTS, "_r.row_id", "_r.name")
-    )
+    rows = rows if "sig" in rows.columns else rows.withColumn("sig", _own_signature())
+    # the condition is on the result: on rows it would be evaluated with labels and signatures of its own
+    found = rows.groupBy("sig").agg(
+        F.min(F.struct("row_id", "name")).alias("_r"), F.any_value("labels").alias("labels"),
+        F.max_by("name", F.struct(F.length("name"), -F.col("row_id"))).alias("longest"), F.max_by("row_id", F.struct(F.length("name"), -F.col("row_id"))).alias("longest_id"),
+    ).filter("size(labels) > 0")
+    return _lists(found).select("sig", *LISTS, "_r.row_id", "_r.name", "longest", "longest_id")
 
 
 def _keyed(sig: DataFrame) -> DataFrame:
@@ -326,7 +340,10 @@ def residual(left: DataFrame, right: DataFrame, config: LinkConfig = LinkConfig(
 
     pool_lists = pool(right, "ref_id", False)
     ours = pool(left, "sig", True)
-    n, m = max(1, math.ceil(ours.count() / block)), max(1, math.ceil(pool_lists.count() / block))
+    left_over = ours.count()
+    if not left_over:
+        return ours.sparkSession.createDataFrame([], "sig string, score double, ref_id long")
+    n, m = math.ceil(left_over / block), max(1, math.ceil(pool_lists.count() / block))
     a = ours.select("imp", "sig", F.lit(0).cast("long").alias("ref_id"), F.lit(True).alias("mine"), F.pmod("block", F.lit(n)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
     b = pool_lists.select("imp", F.lit("").alias("sig"), "ref_id", F.lit(False).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"), F.pmod("block", F.lit(m)).cast("int").alias("j"))
     best = a.unionByName(b).groupBy("i", "j").applyInPandas(_residual(config), "sig string, score double, ref_id long")
@@ -337,7 +354,7 @@ def residual(left: DataFrame, right: DataFrame, config: LinkConfig = LinkConfig(
 def best_matches(inference: DataFrame, reference: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(sig, ref_id, matched_name, score, category) of the best reference for each distinct inference list."""
     # each is read several times below; distinct lists are few beside the rows
-    left, right = cut(signatures(inference)), cut(signatures(reference))
+    left, right = (cut(signatures(x).select("sig", *LISTS, "row_id", "name")) for x in (inference, reference))
     pairs = gated(left, right, config)
     top = cut(pairs.groupBy(F.col("l.sig").alias("sig")).agg(
         F.max_by(F.struct(F.col("r.row_id").alias("ref_id"), F.col("r.name").alias("matched_name"), "score", "category"), _better(F.round("score", 9), F.col("r.row_id"))).alias("m")
@@ -352,8 +369,9 @@ def match(inference: DataFrame, reference: DataFrame, config: LinkConfig = LinkC
 
     Ties go to the least row_id. Rows without tokens, and all rows if the pool has none, have nulls.
     """
-    found = best_matches(inference, reference, config).withColumnRenamed("ref_id", "matched_id")
-    return inference.withColumn("sig", _own_signature()).join(found, "sig", "left").drop("sig")
+    mine = signed(inference)
+    found = best_matches(mine, reference, config).withColumnsRenamed({"ref_id": "matched_id", "sig": "_sig"})
+    return mine.withColumn("sig", _join_key()).join(found, F.col("sig") == F.col("_sig"), "left").drop("sig", "_sig")
 
 
 def brute_force(inference: DataFrame, reference: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
@@ -381,17 +399,15 @@ def alias(rows: DataFrame, config: LinkConfig = LinkConfig(), among: DataFrame |
     One step, not a closure. Ties go to the least row_id; rows without such a pair have "". The
     rows searched are those of ``among``, by default the same.
     """
-    among = rows if among is None else among
-    sig = cut(signatures(among))
-    names = _lists(among.filter("size(labels) > 0")).groupBy(signature(*[F.col(c) for c in LISTS]).alias("sig")).agg(
-        F.max_by(F.struct("name", "row_id"), F.struct(F.length("name"), -F.col("row_id"))).alias("n")
-    )
-    mine = sig.select("sig", *LISTS, "row_id", "name")
-    pairs = gated(mine, mine, config).filter(F.col("category").isin("Match", "Alias")).select(F.col("l.sig").alias("of"), F.col("r.sig").alias("sig"))
-    longest = pairs.join(names, "sig").groupBy("of").agg(
-        F.max_by("n.name", F.struct(F.length("n.name"), -F.col("n.row_id"))).alias("alias")
+    mine = signed(rows)
+    lists = cut(signatures(mine if among is None else among))
+    own = lists.select("sig", *LISTS, "row_id", "name")
+    pairs = gated(own, own, config).filter(F.col("category").isin("Match", "Alias")).select(F.col("l.sig").alias("of"), F.col("r.sig").alias("sig"))
+    longest = pairs.join(lists.select("sig", "longest", "longest_id"), "sig").groupBy("of").agg(
+        F.max_by("longest", F.struct(F.length("longest"), -F.col("longest_id"))).alias("alias")
     )
-    return rows.withColumn("of", _own_signature()).join(longest, "of", "left").withColumn("alias", F.coalesce("alias", F.lit(""))).drop("of")
+    aliased = mine.withColumn("sig", _join_key()).join(longest, F.col("sig") == F.col("of"), "left").drop("sig", "of")
+    return aliased.withColumn("alias", F.coalesce("alias", F.lit("")))
 
 
 def cascade(inference: DataFrame, pools: list[DataFrame], config: LinkConfig = LinkConfig()) -> DataFrame:

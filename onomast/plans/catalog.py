@@ -183,7 +183,7 @@ def _active(spark, d):
 
 def _linked(spark, d):
     mine, pool = _sides(spark, d)
-    return match.alias(match.match(mine, pool), among=mine).drop("labels")
+    return match.alias(match.match(mine, pool)).drop("labels")
 
 
 def _joined(c: str, by: str = "|") -> Column:

@@ -70,7 +70,7 @@ class Pipeline:
         c = self.config
         mine = labelled.filter(F.col(c.source) == c.inference)
         found = match.match(mine, labelled.filter(F.col(c.source) == c.reference), c)
-        return self._keep("linked", match.alias(found, c, mine), reused=True)
+        return self._keep("linked", match.alias(found, c), reused=True)
 
     def report(self, linked: DataFrame, active) -> DataFrame:
         return report.report(linked, readers.as_table(self.spark, active), self.config)

@@ -13,6 +13,7 @@ from onomast.config import LinkConfig
 from onomast.functions import similarity as sim
 from onomast.operators import labels, match, report, wordscores
 from onomast.operators.match import Scorer, word_pairs
+from onomast.plans import catalog
 from onomast.plans.pipeline import Pipeline
 
 LABELLED = "row_id long, name string, source string, labels array<struct<word:string,label:int>>"
@@ -147,6 +148,45 @@ def test_batches_score_as_one_by_one(rows, ieee):
         assert Scorer(word_pairs([r]), config).pair(*r) == (s, c)
 
 
+def counted_rows(spark, n, source):
+    """Rows whose labels count, in an accumulator, how often they are made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<struct<word:string,label:int>>")
+    def make(k):
+        seen.add(1)
+        return [(f"ACME{k % 3}", 0)] if k % 5 else []
+
+    return spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("n"), F.col("id")).alias("name"), F.lit(source).alias("source"), make("id").alias("labels")), seen
+
+
+def test_labels_are_made_once(spark):
+    """Making labels is most of the work of matching, so it isn't repeated for signatures, joins and the two parts of a report."""
+    (mine, own), (pool, other) = counted_rows(spark, 20, "inference"), counted_rows(spark, 10, "reference")
+    out = report.report(match.alias(match.match(mine, pool)), spark.createDataFrame([], "name string"))
+    assert out.count() == 20 and (own.value, other.value) == (20, 10)
+    (mine, own), (pool, other) = counted_rows(spark, 20, "inference"), counted_rows(spark, 10, "reference")
+    assert match.cascade(mine, [pool, pool]).count() == 20 and own.value == 20
+
+
+def test_rows_without_tokens_are_not_one_group(spark):
+    """They have no signature to join on, and go to as many tasks as any rows."""
+    none = spark.range(50).select(F.col("id").alias("row_id"), F.lit(None).cast("string").alias("sig"))
+    assert none.select(match._join_key()).distinct().count() == 50
+
+
+def test_columns_of_no_type_pass(spark):
+    mine, pool = rows_of(spark, 4, 10, "inference").withColumn("nothing", F.lit(None)), rows_of(spark, 5, 20, "reference")
+    got = match.alias(match.match(mine, pool))
+    assert dict(got.dtypes)["nothing"] == "void" and got.count() == 10 and got.columns[:5] == mine.columns
+
+
+def test_small_files_go_to_all_cores(spark):
+    """One row group of many names is labelled by more than one task."""
+    rows = catalog._raw(spark, "/root/testdata/sf0.001")
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_gate_is_an_equi_join(spark):
     mine = rows_of(spark, 3, 5, "inference")
     sig = match.signatures(mine)
