@@ -5,6 +5,7 @@ A labeler is a function from rows with ``words`` (raw case) to the same rows wit
 
 from __future__ import annotations
 
+import math
 from typing import Protocol
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,6 +14,7 @@ from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cut import cut, scratch, spread, tasks
 from ..functions import arrays, text
 
 
@@ -105,7 +107,6 @@ def train_labeler(df: DataFrame, features: int = 4096, reg: float = 1e-4, hidden
     The model is multinomial regression, or with ``hidden`` a feed-forward network of hidden layers
     of those sizes (choose fewer ``features`` then: the first layer has as many inputs).
     """
-    tokens = token_features(df).filter("label is not null")
     head = LogisticRegression(maxIter=40, regParam=reg, family="multinomial")
     if hidden:
         head = MultilayerPerceptronClassifier(layers=[features + 5, *hidden, 4], maxIter=60, seed=42)
@@ -114,7 +115,19 @@ def train_labeler(df: DataFrame, features: int = 4096, reg: float = 1e-4, hidden
         VectorAssembler(inputCols=["hashed", "length", "position", "count", "pos", "weight"], outputCol="features"),
         head,
     ]
-    return Pipeline(stages=stages).fit(tokens)
+    with scratch(df.sparkSession):
+        return Pipeline(stages=stages).fit(_training_tokens(df, 8 * (features + 8) if hidden else SPARSE_BYTES))
+
+
+#: Bytes of vectors that a task holds while a model is fitted, and of a token's vector of few values; a network's has all.
+TASK_BYTES, SPARSE_BYTES = 64 << 20, 256
+
+
+def _training_tokens(df: DataFrame, width: int) -> DataFrame:
+    """Tokens with a label, so many a partition that vectors of ``width`` bytes stay within a task's bytes, however few tasks
+    the names come from."""
+    tokens = cut(token_features(spread(df)).filter("label is not null"))
+    return tokens.repartition(max(tasks(df.sparkSession), math.ceil(tokens.count() * width / TASK_BYTES)))
 
 
 def save_labeler(model: PipelineModel, path: str) -> None:

@@ -257,7 +257,7 @@ def _(spark, d):
 @query("src9_saved_labeler", "SELECT DISTINCT row_id FROM tokens WHERE row_id % 5 = 0", "tokens")
 def _(spark, d):
     """A labeler that was saved and loaded gives each row the labels of the one that was trained: the rows where it does."""
-    rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
+    rows = labels.position_labeler()(_raw(spark, d))
     path = _place(spark, "labeler")
     trained = labels.train_labeler(rows.filter("row_id % 5 <> 0"), 128)
     labels.save_labeler(trained, path)
@@ -329,7 +329,7 @@ def _(spark, d):
     from . import cli
 
     rows, model, out = _place(spark, "in") + ".parquet", _place(spark, "model"), _place(spark, "out")
-    labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name")))).write.parquet(rows)
+    labels.position_labeler()(_raw(spark, d)).write.parquet(rows)
     cli.main(["classify", "--i", rows, "--o", out, "--m", "train", "--mn", model], spark)
     cli.main(["classify", "--i", rows, "--o", out, "--m", "test", "--mn", model, "--format", "parquet"], spark)
     return spark.read.parquet(out).select("row_id", F.size("label_list").cast("long").alias("n"))
@@ -933,7 +933,7 @@ def _(spark, d):
 
 @query("udf4_labeler_trained_and_applied")
 def _(spark, d):
-    rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
+    rows = labels.position_labeler()(_raw(spark, d))
     path = _place(spark, "labeler")
     labels.save_labeler(labels.train_labeler(rows.filter("row_id % 5 <> 0"), 512), path)
     held = labels.model_labeler(labels.load_labeler(path))(rows.filter("row_id % 5 = 0").select("row_id", "words"))
@@ -946,7 +946,7 @@ _GUESS = "CASE WHEN i = 1 THEN 0 WHEN word IN ('red', 'blue', 'RED', 'BLUE') OR
 @query("udf5_evaluation", f"SELECT round(avg(CAST(label = {_GUESS} AS DOUBLE)), 6) AS accuracy FROM tokens", "tokens")
 def _(spark, d):
     """Labels by rules of words and places, held against labels by position."""
-    tokens = labels.token_features(labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name")))))
+    tokens = labels.token_features(labels.position_labeler()(_raw(spark, d)))
     w, n = F.col("word"), F.length("word")
     guess = F.when(F.col("place") == 0, 0).when(w.isin("red", "blue", "RED", "BLUE") | (n > 6), 2).when(n == 3, 1).otherwise(0)
     return evaluate.token_accuracy(tokens.withColumn("prediction", guess.cast("double"))).select(r6("accuracy"))
@@ -955,7 +955,7 @@ def _(spark, d):
 @query("udf5_trained_evaluation")
 def _(spark, d):
     """Accuracy of both kinds of trained labelers on tokens of names that they haven't seen."""
-    rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
+    rows = labels.position_labeler()(_raw(spark, d))
     seen, held = rows.filter("row_id % 5 <> 0"), labels.token_features(rows.filter("row_id % 5 = 0"))
     out = None
     for kind, model in (("regression", labels.train_labeler(seen, 256)), ("network", labels.train_labeler(seen, 64, hidden=(16,)))):
@@ -967,7 +967,7 @@ def _(spark, d):
 @query("udf3_token_predictions", "SELECT row_id, count(*) AS n FROM tokens WHERE row_id % 5 = 0 GROUP BY row_id", "tokens")
 def _(spark, d):
     """A label for each token of held-out names; the SQL tells how many."""
-    rows = labels.position_labeler()(_short(spark, d).withColumn("words", text.raw_words(F.col("name"))))
+    rows = labels.position_labeler()(_raw(spark, d))
     model = labels.train_labeler(rows.filter("row_id % 5 <> 0"), 256)
     out = labels.model_labeler(model)(rows.filter("row_id % 5 = 0").select("row_id", "words"))
     return out.select("row_id", F.size(F.filter("label_list", lambda k: k.between(0, 2))).cast("long").alias("n"))

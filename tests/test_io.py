@@ -197,6 +197,21 @@ def nothing_left(spark):
     assert scratch_tables(spark) == before
 
 
+@pytest.mark.parametrize("hidden", [(), (2,)])
+def test_training_partitions_are_bounded(spark, monkeypatch, nothing_left, hidden):
+    """Names of one partition are trained on by tasks of bounded bytes, of every token once."""
+    monkeypatch.setattr(labels, "TASK_BYTES", 1 << 14)
+    seen = []
+    plain = labels._training_tokens
+    monkeypatch.setattr(labels, "_training_tokens", lambda *a: seen.append(plain(*a)) or seen[-1])
+    rows = labels.position_labeler()(spark.range(400).coalesce(1).select(F.col("id").alias("row_id"), F.split(F.concat_ws(" ", F.lit("Acme"), F.col("id") % 9, F.lit("Works"), F.lit("Inc")), " ").alias("words")))
+    fitted = []
+    monkeypatch.setattr(labels.Pipeline, "fit", lambda self, df: fitted.append([r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]))
+    labels.train_labeler(rows, 64, hidden=hidden)
+    width = 8 * 72 if hidden else labels.SPARSE_BYTES
+    assert len(seen) == 1 and sum(fitted[0]) == 1600 and max(fitted[0]) * width <= 2 * labels.TASK_BYTES
+
+
 def test_command_line(spark, tmp_path, nothing_left):
     rows = [{"row_id": i, "name": n, "source": s} for i, (n, s) in enumerate([("Acme North Inc", "inference"), ("Acme North Co", "reference"), ("Zeta", "reference")])]
     (tmp_path / "in.json").write_text(json.dumps(rows))
